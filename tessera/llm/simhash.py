@@ -248,8 +248,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     near = near_duplicates(docs, id_col, text_col, shingle)
     by_id = materialise(near.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
-    gone = by_id.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = by_id.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).hint("merge")
+    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")  # sort-merge at every size: the ids have no bound
     again = by_id.where("n > 1").select(F.col("doc_id").alias("_again"))
     if again.isEmpty():
         return kept
