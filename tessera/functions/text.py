@@ -13,8 +13,8 @@ from pyspark.sql.functions import pandas_udf
 
 #: What is folded, dropped or looked for.
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
-SPACES = r"[   -   　]"
-CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f​-‏ -‮⁠﻿]"
+SPACES = r"[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"
+CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\u200b-\u200f\u2028-\u202e\u2060\ufeff]"
 ABSTRACT_LABEL = r"(?iU)^\s*(abstract|résumé|resume|summary|description)\s*[:.\-–—]?\s+"
 ELLIPSIS_END = r"(?U)\s*(…|\.{3,})\s*$"
 AFFILIATION = r"(?iU)\b(universit\w*|laborator\w*|facult\w*|department|d[ée]partement|institute|institut|school|college|morocco|maroc|casablanca|france|spain|usa)\b"
