@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, lm, mixing, neighbours, pii, quality, simhash, substring
+from . import decontaminate, html, lm, mixing, neighbours, pii, quality, simhash, substring, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_nearest_neighbours, op3_decontamination, op4_simhash_neardup, op5_substring_dedup, op6_html_text, op7_mix_sources, op8_lm_score, op9_pii)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated_strings(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_nearest_neighbours, op3_decontamination, op4_simhash_neardup, op5_substring_dedup, op6_html_text, op7_mix_sources, op8_lm_score, op9_pii, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op2_nearest_neighbours": neighbours.ORACLE_NEAREST, "op7_mix_sources": mixing.ORACLE_MIX}
