@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 #: What is folded, dropped or looked for.
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
@@ -23,23 +24,23 @@ DOI_PREFIX = r"(?i)^(https?://(dx\.)?doi\.org/|doi:\s*)"
 TITLES = ("pr", "prof", "professeur", "dr", "docteur", "mme", "mr", "m", "mlle")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _unescape_nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", html.unescape(x)), na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fold_ascii(s: pd.Series) -> pd.Series:
     """Compatibility decomposition, everything beyond ASCII dropped."""
     return s.map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode(), na_action="ignore")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio; it depends on the order of its arguments.  An empty side gives 0."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])

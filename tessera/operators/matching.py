@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from tessera.functions.text import sequence_ratio, tokens
 
@@ -34,7 +35,7 @@ def _tail(a: str, b: str) -> float:
     return max(total / longer if longer else 0.0, RATIO_SHARE * ratio if ratio >= RATIO_LEAST else 0.0)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _tail_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_tail(x, y) for x, y in zip(a, b, strict=True)])
 

@@ -8,11 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Class names of the page layout, field labels, signs of a block.
 BLOCK_SIGNS = ("unusual traffic", "not a robot", "captcha", "recaptcha", "gs_captcha", "/sorry/", "automated queries")
 LABELS = {"authors": "authors", "inventors": "authors", "publication date": "date", "journal": "journal", "conference": "conference", "source": "journal", "book": "book", "volume": "volume", "issue": "issue", "pages": "pages", "publisher": "publisher", "description": "abstract"}
-_NODE = "array<struct<tag:string,cls:string,id:string,href:string,depth:int,text:string>>"
+_NODE = ArrayType(StructType([StructField(f, IntegerType() if f == "depth" else StringType()) for f in ("tag", "cls", "id", "href", "depth", "text")]))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
