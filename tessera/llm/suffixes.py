@@ -28,7 +28,7 @@ from . import textbytes as tb
 from .substring import _bits, _joined, _merge_sketches
 
 LENGTH, GRAM, STRIDE = 100, 24, 50
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _PLACE_BITS = 24
 
 
@@ -57,7 +57,8 @@ class _Pieces:
         low = np.uint64((1 << _PLACE_BITS) - 1)
         if n > int(low):
             raise ValueError("a block holds at most 16 MB; make block_bytes smaller")
-        least = sliding_least((hashes & ~low) | place, length - gram + 1) & low
+        least = (sliding_least((hashes & ~low) | place, length - gram + 1) & low).astype(np.int64)
+        del place
         valid = np.zeros(max(0, n - length + 1), bool)
         for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
             valid[a : max(a, b - length + 1)] = True
@@ -69,7 +70,7 @@ class _Pieces:
         first = np.flatnonzero(new)
         self.first = at[first]  # of each piece: its first string,
         self.size = np.diff(np.append(first, len(at)))  # how many strings,
-        self.value = hashes[anchor[first].astype(np.int64)]  # and the hash of their anchor
+        self.value = hashes[anchor[first]]  # and the hash of their anchor
         self.doc = np.searchsorted(self.offsets, self.first, "right") - 1
         order = np.argsort(self.value, kind="stable")
         start = bl.groups(self.value[order])
@@ -223,7 +224,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     if length % stride or gram > length or length - gram + 1 > 255:
         raise ValueError("stride must divide length, and length - gram be under 255")
     count = bl.block_count(docs, text_col, block_bytes)
-    ranges = count
+    ranges = max(1, (count + 1) // 2)
     split = bl.with_block(docs, id_col, text_col, count)
 
     def anchors(table, _):

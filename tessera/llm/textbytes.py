@@ -19,7 +19,7 @@ LOWER[65:91] += 32
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_VALUES = _RNG.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = _RNG.integers(1, 2**62, size=4, dtype=np.uint64) * np.uint64(4) + np.uint64(3)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
 
 def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -55,24 +55,31 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get(k)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+def _tables(k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For a base and its inverse: powers 0 to 65535, and powers of the power 65536."""
+    if k not in _POWERS:
         base = int(_BASES[k])
-        inverse = pow(base, -1, 1 << 64)
         out = []
-        for b in (base, inverse):
-            p = np.empty(size, np.uint64)
-            p[0] = 1
-            filled = 1
-            while filled < size:
-                step = min(filled, size - filled)
-                p[filled : filled + step] = p[:step] * np.uint64(pow(b, filled, 1 << 64))
-                filled += step
-            out.append(p)
-        have = _POWERS[k] = (out[0], out[1])
-    return have
+        for b in (base, pow(base, -1, 1 << 64)):
+            steps = []
+            for start in (b, pow(b, 1 << 16, 1 << 64)):
+                p = np.full(1 << 16, start, np.uint64)
+                p[0] = 1
+                steps.append(np.multiply.accumulate(p))
+            out.append((steps[0], steps[1]))
+        _POWERS[k] = out
+    return _POWERS[k]
+
+
+def _power_run(k: int, n: int) -> np.ndarray:
+    """The first n powers of a base."""
+    low, high = _tables(k)[0]
+    return (high[: (n >> 16) + 1, None] * low).ravel()[:n] if n > 1 << 16 else low[:n]
+
+
+def _inverse_powers(k: int, at: np.ndarray) -> np.ndarray:
+    low, high = _tables(k)[1]
+    return high[at >> 16] * low[at & 0xFFFF]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -88,11 +95,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
     """Polynomial hash, modulo 2**64, of values[s:e] for each range."""
-    power, inverse = _powers(k, len(values) + 1)
     total = np.empty(len(values) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(values * power[: len(values)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    weighted = _power_run(k, len(values)) * values
+    np.cumsum(weighted, out=total[1:])
+    del weighted
+    out = total[ends]
+    out -= total[starts]
+    del total
+    out *= _inverse_powers(k, np.asarray(starts, np.int64))
+    out += (ends - starts).astype(np.uint64)
+    return mix64(out)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
