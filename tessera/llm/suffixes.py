@@ -70,7 +70,7 @@ class _Pieces:
         first = np.flatnonzero(new)
         self.first = at[first]  # of each piece: its first string,
         self.size = np.diff(np.append(first, len(at)))  # how many strings,
-        self.value = hashes[anchor[first]]  # and the hash of their anchor
+        self.value = tb.mix64(hashes[anchor[first]])  # and the hash of their anchor, mixed again: the least are all small
         self.doc = np.searchsorted(self.offsets, self.first, "right") - 1
         order = np.argsort(self.value, kind="stable")
         start = bl.groups(self.value[order])
