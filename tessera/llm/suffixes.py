@@ -28,7 +28,7 @@ from . import textbytes as tb
 from .substring import _bits, _joined, _merge_sketches
 
 LENGTH, GRAM, STRIDE = 100, 24, 50
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 2 << 20
 _PLACE_BITS = 24
 
 
@@ -191,7 +191,8 @@ def repeated_strings(data: np.ndarray, size: np.ndarray, ids: np.ndarray, place:
 def _judge(payloads: list[bytes], length: int, stride: int) -> list[bytes]:
     parts = [_unpack(p, length) for p in payloads]
     size, ids, place, data = (np.concatenate(x) for x in zip(*parts, strict=True))
-    shard = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    # 16 bits where they are enough: such keys are sorted by radix
+    shard = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]).astype(np.uint16 if len(parts) < 1 << 16 else np.int64)
     begin = np.concatenate([[0], np.cumsum(size + length - 1)])
     # equal pieces of several blocks: the earliest goes on, all strings of the others occur earlier
     a, b = (tb._ranges(tb._BYTE_VALUES[k][data], begin[:-1], begin[1:], 2 + k) for k in (0, 1))
