@@ -68,7 +68,7 @@ def violations(df: DataFrame, key: str, rules: dict[str, tuple[Column, str]]) ->
 
 def nest(parents: DataFrame, links: DataFrame, children: DataFrame, parent_key: str, child_key: str, order: str, fields: list[str], out: str = "items") -> DataFrame:
     """Parents with the ordered array of their children; parents without one are left out."""
-    rows = links.join(children, child_key).groupBy(parent_key).agg(F.array_sort(F.collect_list(F.struct(order, child_key, *fields))).alias(out))
+    rows = links.join(children, child_key).groupBy(parent_key).agg(F.array_sort(F.collect_list(F.struct(*dict.fromkeys([order, child_key, *fields])))).alias(out))
     return parents.join(rows, parent_key)
 
 

@@ -42,7 +42,8 @@ def clusters(df: DataFrame, k: int | None = None, k_range: tuple[int, ...] = (2,
 def cluster_terms(docs: DataFrame, key: str, text: str, cluster: str, stop: list[str], top: int = 6, least_docs: int = 2) -> DataFrame:
     """(cluster, rank, term, weight): greatest mean of smoothed, length-normalised TF-IDF over words and pairs."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop))
-    pairs = F.transform(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.element_at("_w", (i + 2).cast("int"))))
+    least = F.greatest(F.size("_w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("_w", 1, least), F.slice("_w", 2, least), lambda a, b: F.concat(a, F.lit(" "), b))
     terms = docs.select(key, cluster, words.alias("_w")).withColumn("_w", F.concat("_w", pairs))
     sizes = terms.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
     n = terms.agg(F.count(F.lit(1)).alias("n"))
