@@ -241,12 +241,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return each.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """The rows of docs, all columns, without those linked to a smaller id; of rows with the same id one stays.
+def keep_least(docs: DataFrame, near: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, all columns, without those whose component_id in `near` is a smaller id; of rows with the same id one stays.
 
     Rows with a null id stay: they cannot be named as copies.
     """
-    near = near_duplicates(docs, id_col, text_col, shingle)
     by_id = materialise(near.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
     gone = by_id.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).hint("merge")
     kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")  # sort-merge at every size: the ids have no bound
@@ -255,3 +254,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return kept
     single = kept.join(again, F.col(id_col) == F.col("_again"), "left_anti")
     return single.unionByName(kept.join(again, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col]))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """The rows of docs without those linked to a smaller id over fingerprints; see keep_least."""
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, shingle), id_col)

@@ -117,6 +117,11 @@ def window_hashes(symbols: np.ndarray, starts: np.ndarray, length: int, which: i
     return _ranges(symbols, starts, starts + length, 2 + which)
 
 
+def run_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of symbols[s:e] for each pair of bounds."""
+    return _ranges(symbols, starts, ends, 2 + which)
+
+
 def byte_window_hashes(data: np.ndarray, starts: np.ndarray, length: int, which: int = 0) -> np.ndarray:
     return _ranges(_BYTE_VALUES[which][data], starts, starts + length, 2 + which)
 
