@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing, pii, quality, simhash
+from tessera.llm import decontaminate, mixing, nearcopies, pii, quality
 from tessera.plans.shared import materialise
 
 
@@ -19,8 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least id, of each group linked by SimHash over five-word shingles."""
-    return simhash.one_of_each(docs, shingle=5)
+    """One document, the one of least id, of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return nearcopies.one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
