@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import values as vl
-from tessera.operators import dedup, embed, enrich, matching, payloads_queries, relational, reports, vectors
+from tessera.operators import dedup, embed, enrich, matching, payloads_queries, relational, reports, roster, vectors
 from tessera.sources.readers import table
 from tessera.streaming.state import latest, windowed_counts
 
@@ -417,3 +417,46 @@ def name_scores(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select("s_suppkey", tx.match_key_ascii(F.col("s_name")).alias("k"))
     n = s.select((F.col("s_suppkey") - 1).alias("s_suppkey"), F.col("k").alias("k2"))
     return s.join(n, "s_suppkey").select("s_suppkey", F.round(matching.name_score(F.col("k"), F.col("k2")), 6).alias("score"))
+
+
+# ---------------------------------------------------------------- rosters
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS seen FROM orders GROUP BY ALL), p AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS seen FROM orders GROUP BY ALL),
+a AS (SELECT o_custkey, string_agg(o_orderstatus, ' | ' ORDER BY seen) AS o_orderstatus FROM s GROUP BY 1), b AS (SELECT o_custkey, string_agg(o_orderpriority, ' | ' ORDER BY seen) AS o_orderpriority FROM p GROUP BY 1),
+o AS (SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice, count(*) AS n_rows FROM orders GROUP BY 1)
+SELECT * FROM o JOIN a USING (o_custkey) JOIN b USING (o_custkey)""")
+def one_per_person(spark: SparkSession, d: str) -> DataFrame:
+    """D13"""
+    return roster.one_per_person(table(spark, d, "orders"), "o_custkey", "o_orderkey", ["o_totalprice"], ["o_orderstatus", "o_orderpriority"])
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) > 1 AS again FROM orders),
+h AS (SELECT * FROM r WHERE o_orderstatus = 'F'), f AS (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS label FROM h GROUP BY 1)
+SELECT 'rows' AS metric, NULL AS label, count(*) AS n FROM r UNION ALL SELECT 'people', NULL, count(DISTINCT o_custkey) FROM r UNION ALL SELECT 'repeats', NULL, count(*) FILTER (again) FROM r
+UNION ALL SELECT 'missing o_orderstatus', NULL, count(*) FILTER (o_orderstatus IS NULL) FROM r UNION ALL SELECT 'missing o_orderpriority', NULL, count(*) FILTER (o_orderpriority IS NULL) FROM r UNION ALL SELECT 'missing team', NULL, count(*) FILTER (year(o_orderdate) IS NULL) FROM r
+UNION ALL SELECT 'missing kind', NULL, count(*) FILTER (month(o_orderdate) IS NULL) FROM r
+UNION ALL SELECT 'home people', NULL, count(DISTINCT o_custkey) FROM h UNION ALL SELECT 'home labs', NULL, count(DISTINCT o_orderpriority) FROM h UNION ALL SELECT 'home teams', NULL, count(DISTINCT (o_orderpriority, year(o_orderdate))) FROM h
+UNION ALL SELECT 'people of several rows', NULL, count(*) FROM (SELECT o_custkey FROM r WHERE NOT again GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'people by lab', label, count(*) FROM f GROUP BY label
+UNION ALL SELECT 'people by team', o_orderpriority || ' / ' || year(o_orderdate), count(DISTINCT o_custkey) FROM h GROUP BY ALL
+UNION ALL SELECT 'rows by home', o_orderstatus, count(*) FROM r GROUP BY ALL UNION ALL SELECT 'rows by kind', month(o_orderdate)::VARCHAR, count(*) FROM r GROUP BY ALL""")
+def member_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A10, A14"""
+    rows = relational.flag_repeats(table(spark, d, "orders"), ["o_custkey", "o_orderpriority"], F.col("o_orderkey"), "again")
+    rows = rows.withColumns({"team": F.year("o_orderdate").cast("string"), "kind": F.month("o_orderdate").cast("string")})
+    return roster.member_counts(rows, "o_custkey", "o_orderkey", "o_orderstatus", "o_orderstatus = 'F'", "again", "o_orderpriority", "team", "kind")
+
+
+@query("""SELECT c_custkey AS person, coalesce(n.x, o.x, '') AS external_id FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderpriority) AS x FROM orders GROUP BY 1) o ON c_custkey = o.o_custkey
+LEFT JOIN (SELECT o_custkey, max(o_orderpriority) AS x FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) n ON c_custkey = n.o_custkey""")
+def fill_ids(spark: SparkSession, d: str) -> DataFrame:
+    """P18"""
+    found = table(spark, d, "orders").select(F.col("o_custkey").alias("person"), F.col("o_orderpriority").alias("external_id"), "o_orderstatus")
+    return roster.fill_ids(table(spark, d, "customer").select(F.col("c_custkey").alias("person")), found, found.where("o_orderstatus = 'P'"), "person", "external_id")
+
+
+@query("SELECT coalesce(quality::VARCHAR, 'pending') AS status, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A14, A15"""
+    return roster.status_counts(_docs(spark, d), table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("status")), "doc_id")
