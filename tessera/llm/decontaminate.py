@@ -1,6 +1,6 @@
 """Benchmark passages in documents, by CGK embedding and bit-sampling LSH over item-sized windows.
 
-Words are compared: lower-case ASCII letters, ASCII punctuation as space.  An item of n words is found where a
+Words are compared: lower-case letters of any script, ASCII punctuation as space.  An item of n words is found where a
 window of n words has a word edit distance of at most k = floor(share * n) from it.
 
 1. Filter without loss: k edits leave one of k + 1 stretches of the item untouched, so a match shares a run of
@@ -22,6 +22,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +38,8 @@ _SAMPLE, _FAR = 4, 0.35
 
 def _words(column) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of a text column and each row's bounds among them."""
-    data, offsets = tb.column_bytes(column)
-    data = tb.LOWER[data]
-    data[_BREAK[data]] = 32
+    data, offsets = tb.column_bytes(pc.utf8_lower(column))
+    data = np.where(_BREAK[data], np.uint8(32), data)
     starts, ends, bounds = tb.word_bounds(data, offsets)
     return tb.word_hashes(data, starts, ends), bounds
 

@@ -348,3 +348,11 @@ def test_pipeline(spark, tmp_path):
     assert seen[3][302].endswith("mail [EMAIL]")
     mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert mixed and all(r.taken > 0 for r in mixed) and {r.doc_id for r in mixed} <= set(seen[3])
+
+
+def test_decontamination_in_capitals(spark):
+    item = "La. Éai éonleeau pour an éonqueê aivi ai, éenaitreoiaux éoiré anvitre èenreré èéèquepaè ñle straße"
+    docs = spark.createDataFrame([(1, "Un début! " + item.upper().replace("STRASSE", "STRAßE") + "!! FIN"), (2, None), (3, "rien de pareil ici"), (4, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(docs, items).collect()}
+    assert got == {(1, 7, 0), (4, 7, 0)}
