@@ -10,7 +10,7 @@ bucket are verified on 384 bits; MAX_BITS of them is the mean for a similarity o
 so 93 % of pairs of 0.8 pass, half of those of 0.74 and hardly any below 0.65.  Groups are transitive.
 
 Buckets are rows shuffled by key, so their number follows the input; a bucket returns a spanning forest of its
-links.  With PAIRED segments to a key there are 4096**PAIRED buckets a table: take 3 beyond some 10**8 texts, and
+links, one beyond CHUNK rows in pieces that meet pairwise in tasks of their own.  With PAIRED segments to a key there are 4096**PAIRED buckets a table: take 3 beyond some 10**8 texts, and
 more TABLES with it.
 """
 
@@ -35,6 +35,8 @@ PAIRED = 2
 NEAREST = 3
 _LANES = np.uint64(0x0101010101010101)
 _LANE_MOST = 255
+CHUNK = 16_384
+_SENT = pa.schema({"src": pa.int64(), "dst": pa.int64(), "key": pa.int64(), "piece": pa.int32(), "print": pa.binary()})
 _DOCS = 256
 _BYTES = 1 << 20
 
@@ -156,8 +158,12 @@ def bucket_links(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> np.
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """Links (src, dst) between classes (node, print, codes), enough to connect what buckets verify."""
+def links(classes: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Links (src, dst) between classes (node, print, codes), enough to connect what buckets verify.
+
+    A task streams its buckets in the order of their keys and holds one of at most `chunk` rows.  A larger one leaves
+    it unverified, in pieces of `chunk` rows; each pair of its pieces is a group, and so a unit of work, of its own.
+    """
 
     def scatter(batches):
         for batch in batches:
@@ -169,27 +175,63 @@ def links(classes: DataFrame) -> DataFrame:
                 yield pa.record_batch({"key": pa.array(keys.ravel()), "node": part.column("node").take(rows), "print": part.column("print").take(rows)})
 
     def gather(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows of the bucket that the next batch may continue
+        sent = 0  # pieces of that bucket that have left
 
         def verified(parts):
             pairs = bucket_links(*(np.concatenate(side) for side in zip(*parts, strict=True)))
-            return pa.record_batch({"src": pa.array(pairs[:, 0]), "dst": pa.array(pairs[:, 1])})
-
+            return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *(pa.nulls(len(pairs), kind) for kind in (pa.int64(), pa.int32(), pa.binary()))], _SENT)
+
+        def pieces(least: int):
+            """Pieces of `chunk` rows of the held bucket, while it has `least` rows."""
+            nonlocal held, sent
+            if sum(len(part[0]) for part in held) < least:
+                return
+            keys, nodes, prints = (np.concatenate(side) for side in zip(*held, strict=True))
+            at = 0
+            while len(keys) - at >= least:
+                n = min(chunk, len(keys) - at)
+                yield pa.record_batch([pa.array(nodes[at : at + n]), pa.nulls(n, pa.int64()), pa.array(keys[at : at + n]), pa.array(np.full(n, sent, np.int32)), pa.array([p.tobytes() for p in prints[at : at + n]], pa.binary())], _SENT)
+                at, sent = at + n, sent + 1
+            held = [(keys[at:], nodes[at:], prints[at:])] if at < len(keys) else []
+
+        last_key = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = batch.column("key").to_numpy()
             whole = (keys, batch.column("node").to_numpy(), np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint64).reshape(-1, BITS // 64))
-            last = int(np.searchsorted(keys, keys[-1]))
-            if last or held and held[-1][0][-1] != keys[0]:
-                yield verified([*held, tuple(side[:last] for side in whole)])
-                held = []
-            held.append(tuple(side[last:] for side in whole))
-        if held:
+            same = int(np.searchsorted(keys, last_key, "right")) if last_key is not None and keys[0] == last_key else 0
+            if same:
+                held.append(tuple(side[:same] for side in whole))
+            if same < len(keys):
+                if sent:
+                    yield from pieces(1)
+                last = max(same, int(np.searchsorted(keys, keys[-1])))
+                done = [*held, tuple(side[same:last] for side in whole)]
+                if any(len(part[0]) for part in done):
+                    yield verified(done)
+                held, sent, last_key = [tuple(side[last:] for side in whole)], 0, keys[-1]
+            yield from pieces(chunk)
+        if sent:
+            yield from pieces(1)
+        elif held:
             yield verified(held)
 
+    def between(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        prints = np.frombuffer(b"".join(table["print"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        edges = _forest(table["src"].to_numpy(), prints)
+        a, b = (np.concatenate(side) for side in zip(*edges, strict=True))
+        return pa.table({"src": pa.array(a), "dst": pa.array(b)})
+
     keyed = classes.select("node", "print", "codes").mapInArrow(scatter, "key long, node long, print binary")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(gather, "src long, dst long")
+    sent = materialise(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(gather, "src long, dst long, key long, piece int, print binary"), "links")
+    hot = sent.where(F.col("key").isNotNull())
+    # each piece of a hot bucket meets every other one in a group of its own
+    meets = hot.join(hot.groupBy("key").agg(F.max("piece").alias("most")), "key").withColumn("other", F.explode(F.sequence(F.lit(0), "most"))).where("other <> piece or most = 0")
+    across = meets.groupBy("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j")).applyInArrow(between, "src long, dst long")
+    return sent.where(F.col("key").isNull()).select("src", "dst").unionByName(across)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:

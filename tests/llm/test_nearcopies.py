@@ -66,3 +66,26 @@ def test_margins_and_buckets():
     prints = np.packbits(chain.astype(bool), axis=1).view(np.uint64)
     pairs = nearcopies.bucket_links(np.zeros(200, np.int64), np.arange(200), prints)
     assert len(pairs) == 199 and all(nearcopies._distance(prints[a], prints[b]) <= nearcopies.MAX_BITS for a, b in pairs)
+
+
+@pytest.mark.parametrize("size", [9, 10, 11, 40, 47])
+def test_hot_buckets_in_pieces_link_as_whole_ones(spark, size):
+    rng = np.random.default_rng(size)
+    steps = np.cumsum(rng.random((size, nearcopies.BITS)) < 0.12, axis=0) % 2  # neighbours in the chain are near, few others are
+    prints = np.packbits(steps.astype(bool), axis=1)
+    codes = np.zeros((size, nearcopies.TABLES * nearcopies.PAIRED, nearcopies.NEAREST), np.int16)
+    codes[:, :, 1:] = [1, 2]
+    codes[size // 2 :, 2:, 0] = 7  # some buckets hold all, others half
+    order = rng.permutation(size)
+    rows = [(int(order[k]), prints[k].tobytes(), codes[k].tobytes()) for k in range(size)]
+    classes = spark.createDataFrame(rows, "node long, print binary, codes binary")
+
+    def groups(links):
+        root = list(range(size))
+        for a, b in {(r.src, r.dst) for r in links.collect()}:
+            assert nearcopies._distance(prints[list(order).index(a)], prints[list(order).index(b)]) <= nearcopies.MAX_BITS
+            old, new = root[a], root[b]
+            root = [new if r == old else r for r in root]
+        return {frozenset(k for k in range(size) if root[k] == r) for r in root}
+
+    assert groups(nearcopies.links(classes, chunk=10)) == groups(nearcopies.links(classes))
