@@ -226,12 +226,8 @@ def links(classes: DataFrame, chunk: int = CHUNK) -> DataFrame:
         return pa.table({"src": pa.array(a), "dst": pa.array(b)})
 
     keyed = classes.select("node", "print", "codes").mapInArrow(scatter, "key long, node long, print binary")
-    sent = materialise(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(gather, "src long, dst long, key long, piece int, print binary"), "links")
-    hot = sent.where(F.col("key").isNotNull())
-    # each piece of a hot bucket meets every other one in a group of its own
-    meets = hot.join(hot.groupBy("key").agg(F.max("piece").alias("most")), "key").withColumn("other", F.explode(F.sequence(F.lit(0), "most"))).where("other <> piece or most = 0")
-    across = meets.groupBy("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j")).applyInArrow(between, "src long, dst long")
-    return sent.where(F.col("key").isNull()).select("src", "dst").unionByName(across)
+    sent = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(gather, "src long, dst long, key long, piece int, print binary")
+    return simhash.meetings(materialise(sent, "links"), between)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:

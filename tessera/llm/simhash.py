@@ -15,7 +15,7 @@ return a spanning forest of their links, not all pairs.
 from __future__ import annotations
 
 import math
-import struct
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +33,10 @@ from . import textbytes as tb
 MAX_BITS = 3
 _GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 _PIECE = 1 << 16
+LIMIT = 1 << 22
+LARGE = 1024
+CHUNK = 16_384
+_SENT = pa.schema({"src": pa.int64(), "dst": pa.int64(), "key": pa.int64(), "piece": pa.int32()})
 
 
 def _remainder(word: int) -> int:
@@ -166,12 +170,17 @@ def _forest(prints: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def bucket_links(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of at most 3 bits among the fingerprints that share a key."""
+def distinct_rows(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in order and without repeats: one fingerprint may enter a bucket twice."""
     order = np.lexsort((prints, keys))
     keys, prints = keys[order], prints[order]
-    again = ~bl.groups(keys, prints)  # one fingerprint may enter a bucket twice
-    keys, prints = keys[~again], prints[~again]
+    new = bl.groups(keys, prints)
+    return keys[new], prints[new]
+
+
+def bucket_links(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of at most 3 bits among the fingerprints that share a key."""
+    keys, prints = distinct_rows(keys, prints)
     new = np.flatnonzero(bl.groups(keys))
     sizes = np.diff(np.append(new, len(keys)))
     a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
@@ -196,8 +205,25 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.n
     return pairs[:, 0], pairs[:, 1]
 
 
-def links(prints: DataFrame, count: int) -> DataFrame:
-    """Links (src, dst) between distinct fingerprints; enough of them to connect whatever is within 3 bits."""
+def meetings(sent: DataFrame, forest: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """Links (src, dst) of a table of links and of rows (key, piece, ...) of hot buckets, which bring no link yet.
+
+    Each piece of a bucket meets every other one in a group of its own, to which forest() is applied; where there is
+    but one, it is alone.  So a task holds two pieces, and a hot bucket is spread over many tasks.
+    """
+    hot = sent.where(F.col("key").isNotNull())
+    most = hot.groupBy("key").agg(F.max("piece").alias("most"))
+    meets = hot.join(most, "key").withColumn("other", F.explode(F.sequence(F.lit(0), "most"))).where("other <> piece or most = 0")
+    across = meets.groupBy("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j")).applyInArrow(forest, "src long, dst long")
+    return sent.where(F.col("key").isNull()).select("src", "dst").unionByName(across)
+
+
+def links(prints: DataFrame, count: int, limit: int = LIMIT, large: int = LARGE, chunk: int = CHUNK) -> DataFrame:
+    """Links (src, dst) between distinct fingerprints; enough of them to connect whatever is within 3 bits.
+
+    A task streams what its range of buckets was sent.  Whenever it holds more than `limit` rows, buckets of `large`
+    rows and more leave it unverified, in pieces of at most `chunk` rows, and meet elsewhere; no bucket is cut short.
+    """
     ranges = max(1, math.ceil(count / 12_000))  # some 100 keys of 16 bytes each
 
     def scatter(batches):
@@ -215,15 +241,50 @@ def links(prints: DataFrame, count: int) -> DataFrame:
                 keep = [r for r in range(ranges) if payload[r]]
                 yield pa.record_batch({"rng": pa.array(keep, pa.int32()), "payload": pa.array([payload[r] for r in keep], pa.binary())})
 
-    def gather(table: pa.Table) -> pa.Table:
-        keys, prints = [], []
-        for p in table["payload"].to_pylist():
-            keys.append(np.frombuffer(p, "<i8", len(p) // 16))
-            prints.append(np.frombuffer(p, "<u8", len(p) // 16, len(p) // 2))
-        a, b = bucket_links(np.concatenate(keys), np.concatenate(prints))
-        return pa.table({"src": pa.array(a.view(np.int64)), "dst": pa.array(b.view(np.int64))})
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        sent: dict[int, int] = {}  # pieces that have left, by bucket
+        size, most = 0, limit
+
+        def leave(keys, prints, which):
+            """The buckets in `which`, (begin, end) each, as pieces."""
+            for begin, end in which:
+                for at in range(begin, end, chunk):
+                    n, key = min(chunk, end - at), int(keys[at])
+                    sent[key] = sent.get(key, -1) + 1
+                    yield pa.record_batch([pa.array(prints[at : at + n].view(np.int64)), pa.nulls(n, pa.int64()), pa.array(keys[at : at + n]), pa.array(np.full(n, sent[key], np.int32))], _SENT)
+
+        def relieved():
+            """Send large buckets and those of which a part has left; keep the rest."""
+            nonlocal held
+            keys, prints = distinct_rows(*(np.concatenate(side) for side in zip(*held, strict=True)))
+            begin = np.flatnonzero(bl.groups(keys))
+            end = np.append(begin[1:], len(keys))
+            out = (end - begin >= large) | np.isin(keys[begin], np.fromiter(sent, np.int64, len(sent)))
+            stay = np.repeat(~out, end - begin)
+            yield from leave(keys, prints, zip(begin[out].tolist(), end[out].tolist(), strict=True))
+            held = [(keys[stay], prints[stay])]
 
-    return prints.select("print").mapInArrow(scatter, "rng int, payload binary").groupBy("rng").applyInArrow(gather, "src long, dst long")
+        for batch in batches:
+            for p in batch.column("payload").to_pylist():
+                held.append((np.frombuffer(p, "<i8", len(p) // 16), np.frombuffer(p, "<u8", len(p) // 16, len(p) // 2)))
+                size += len(p) // 16
+                if size > most:
+                    yield from relieved()
+                    size = len(held[0][0])
+                    most = max(limit, 2 * size)
+        if sent:
+            yield from relieved()
+        a, b = bucket_links(*(np.concatenate(side) for side in zip(*held, strict=True)))
+        yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32())], _SENT)
+
+    def between(table: pa.Table) -> pa.Table:
+        met = np.unique(table["src"].to_numpy()).view(np.uint64)  # a fingerprint may be in both pieces
+        edges = np.array(_forest(met), np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.table({"src": pa.array(edges[:, 0]), "dst": pa.array(edges[:, 1])})
+
+    scattered = prints.select("print").mapInArrow(scatter, "rng int, payload binary")
+    return meetings(materialise(scattered.groupBy("rng").applyInArrow(gather, "src long, dst long, key long, piece int"), "links"), between)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

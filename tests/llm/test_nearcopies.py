@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import nearcopies
+from tessera.llm import nearcopies, simhash
 
 
 def edited(rnd, words, share):
@@ -89,3 +89,24 @@ def test_hot_buckets_in_pieces_link_as_whole_ones(spark, size):
         return {frozenset(k for k in range(size) if root[k] == r) for r in root}
 
     assert groups(nearcopies.links(classes, chunk=10)) == groups(nearcopies.links(classes))
+
+
+def test_hot_ranges_of_fingerprints_lose_no_link(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    flips = lambda: sum(np.uint64(1) << np.uint64(b) for b in rng.choice(18, rng.integers(0, 5), replace=False) + 46) or np.uint64(0)
+    prints = np.unique(np.array([c ^ flips() for c in centres for _ in range(150)] + rng.integers(0, 1 << 63, 40, dtype=np.uint64).tolist(), np.uint64))
+    table = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "print long").repartition(6)
+
+    def groups(pairs):
+        root = {int(p): int(p) for p in prints}
+        for a, b in pairs:
+            assert (a ^ b).bit_count() <= 3
+            old, new = root[a], root[b]
+            root = {p: new if r == old else r for p, r in root.items()}
+        return {frozenset(p for p in root if root[p] == r) for r in root.values()}
+
+    links = lambda **small: groups({(r.src % (1 << 64), r.dst % (1 << 64)) for r in simhash.links(table, len(prints), **small).collect()})
+    every = groups([(int(a), int(b)) for a in prints for b in prints if a < b and (int(a) ^ int(b)).bit_count() <= 3])
+    assert links() == every
+    assert links(limit=500, large=20, chunk=32) == every
