@@ -1,24 +1,28 @@
-"""Near copies at a shingle similarity of 0.8 and more, by SimHash and soft Golay decoding.
+"""Near copies at a shingle similarity of 0.8 and more: proposed by SimHash and soft Golay decoding, decided exactly.
 
-Two texts whose shingles have a Jaccard similarity of 0.8 differ in some 15 % of the bits of their SimHash,
-far more than the few that error patterns of hard-decided bits can bridge.  So the segments are decoded softly:
-a bit's margin (how far its sum over the shingles is from a tie) says how likely it is to flip, and a segment's
-keys are the three Golay codewords of length 23 that agree best with its margins.  Two texts of similarity 0.8
-share one of them in 74 % of the segments.  A bucket is a pair of segments, nine keys for each text; of four such
-pairs at least one is shared by 96 % of the texts of similarity 0.8 and by 99 % of those of 0.85.  Texts in one
-bucket are verified on 384 bits; MAX_BITS of them is the mean for a similarity of 0.8 and 1.5 standard errors more,
-so 93 % of pairs of 0.8 pass, half of those of 0.74 and hardly any below 0.65.  Groups are transitive.
+The similarity is the Jaccard similarity of the sets of shingles.  Two texts of similarity 0.8 differ in some 15 % of
+the bits of the SimHash of their sets, far more than the few that error patterns of hard-decided bits can bridge.  So
+the segments are decoded softly: a bit's margin (how far its sum over the shingles is from a tie) says how likely it is
+to flip, and a segment's keys are the three Golay codewords of length 23 that agree best with its margins.  Two texts
+of similarity 0.8 share one of them in 74 % of the segments.  A bucket is a pair of segments, nine keys for each text;
+of eight such pairs at least one is shared by 99.8 % of the texts of similarity 0.8.
+
+Bits only propose.  Texts in one bucket within MAX_BITS of 384 bits are linked, a limit three standard errors above the
+mean for a similarity of 0.8 and short texts (five shingles), more for longer ones.  Within each component of these
+links, pairs within MAX_BITS are decided by the exact similarity of their sets, and the components of what is accepted
+are the groups.  Groups are transitive.
 
 Buckets are rows shuffled by key, so their number follows the input; a bucket returns a spanning forest of its
-links, one beyond CHUNK rows in pieces that meet pairwise in tasks of their own.  With PAIRED segments to a key there are 4096**PAIRED buckets a table: take 3 beyond some 10**8 texts, and
-more TABLES with it.
+links, one beyond CHUNK rows in pieces that meet pairwise in tasks of their own.  Proposed components beyond
+PIECE_SHINGLES are cut and meet in the same way.  With PAIRED segments to a key there are 4096**PAIRED buckets a table:
+take 3 beyond some 10**8 texts, and more BITS and TABLES with it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
@@ -29,15 +33,17 @@ from . import simhash
 from . import textbytes as tb
 
 BITS = 384
-MAX_BITS = 68
-TABLES = 4
+MAX_BITS = 96
+SIMILARITY = 0.8
+TABLES = 8
 PAIRED = 2
 NEAREST = 3
 _LANES = np.uint64(0x0101010101010101)
 _LANE_MOST = 255
 CHUNK = 16_384
 _SENT = pa.schema({"src": pa.int64(), "dst": pa.int64(), "key": pa.int64(), "piece": pa.int32(), "print": pa.binary()})
-_DOCS = 256
+PIECE_SHINGLES = 1 << 20
+_DOCS = 128
 _BYTES = 1 << 20
 
 
@@ -50,20 +56,38 @@ def _codebook() -> np.ndarray:
 _CODEBOOK = _codebook()
 
 
-def margins(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
-    """For each text and bit, the shingles that set the bit less those that do not."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each text's distinct shingles, ascending, text after text, and the bounds of the texts."""
     lower = tb.LOWER[data]
     starts, ends, bounds = tb.word_bounds(lower, offsets)
     words = np.diff(bounds)
     number = np.where(words >= shingle, words - shingle + 1, np.minimum(words, 1))
     before = np.concatenate([[0], np.cumsum(number)])
-    out = np.zeros((len(words), BITS), np.int64)
-    full = np.flatnonzero(number)
-    if not len(full):
-        return out
     doc = np.repeat(np.arange(len(words)), number)
     first = np.arange(before[-1]) - before[doc] + bounds[doc]
     hashes = tb.run_hashes(tb.word_hashes(lower, starts, ends), first, first + np.minimum(words[doc], shingle))
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    new = bl.groups(doc, hashes)
+    return hashes[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(words)))]).astype(np.int64)
+
+
+def set_names(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """128 bits that name each set: two sums of its hashes, mixed differently."""
+    out = np.zeros((len(bounds) - 1, 2), np.uint64)
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        for k in (0, 1):
+            out[full, k] = np.add.reduceat(tb.mix64(hashes ^ np.uint64(0xD6E8FEB86659FD93 * (k + 1) % (1 << 64))), bounds[:-1][full])
+    return [row.tobytes() for row in out]
+
+
+def _margins(hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    number = np.diff(before)
+    out = np.zeros((len(number), BITS), np.int64)
+    full = np.flatnonzero(number)
+    if not len(full):
+        return out
     # a lane of one byte counts up to 255 shingles
     parts = -(-number[full] // _LANE_MOST)
     part_of = np.concatenate([[0], np.cumsum(parts)])
@@ -78,6 +102,11 @@ def margins(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
     return out
 
 
+def margins(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
+    """For each text and bit, the distinct shingles that set the bit less those that do not."""
+    return _margins(*shingle_sets(data, offsets, shingle))
+
+
 def nearest_codewords(margin: np.ndarray) -> np.ndarray:
     """Indexes of the NEAREST best codewords of each segment that keys use: (texts, segments, NEAREST)."""
     segments = TABLES * PAIRED
@@ -101,22 +130,40 @@ def keys_of(codes: np.ndarray) -> np.ndarray:
     return np.concatenate(keys, axis=1)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, print, codes) for each document: its fingerprint and the codewords of its keys, packed."""
+def _parts(column, shingle: int):
+    """(from, to, hashes, bounds): the shingle sets of a few rows of a text column at a time."""
+    data, offsets = tb.column_bytes(column)
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = min(n, at + _DOCS, max(at + 1, int(np.searchsorted(offsets, offsets[at] + _BYTES, "right")) - 1))
+        yield at, to, *shingle_sets(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], shingle)
+        at = to
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, name, n, print, codes) for each of docs (doc_id, text): the name and size of its shingle set, its
+    fingerprint and the codewords of its keys, packed."""
 
     def make(batches):
         for batch in batches:
-            data, offsets = tb.column_bytes(batch.column("text"))
-            at, n = 0, len(offsets) - 1
-            while at < n:
-                to = min(n, at + _DOCS, max(at + 1, int(np.searchsorted(offsets, offsets[at] + _BYTES, "right")) - 1))
-                margin = margins(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], shingle)
+            for at, to, hashes, bounds in _parts(batch.column("text"), shingle):
+                margin = _margins(hashes, bounds)
                 prints = np.packbits(margin > 0, axis=1, bitorder="little")
                 codes = nearest_codewords(margin)
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(at, to - at), "print": pa.array([p.tobytes() for p in prints], pa.binary()), "codes": pa.array([c.tobytes() for c in codes], pa.binary())})
-                at = to
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(at, to - at), "name": pa.array(set_names(hashes, bounds), pa.binary()), "n": pa.array(np.diff(bounds)), "print": pa.array([p.tobytes() for p in prints], pa.binary()), "codes": pa.array([c.tobytes() for c in codes], pa.binary())})
+
+    return docs.mapInArrow(make, "doc_id long, name binary, n long, print binary, codes binary")
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(name, shingles) for each of docs (doc_id, text), the hashes packed."""
+
+    def make(batches):
+        for batch in batches:
+            for _, _, hashes, bounds in _parts(batch.column("text"), shingle):
+                yield pa.record_batch({"name": pa.array(set_names(hashes, bounds), pa.binary()), "shingles": pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(make, "doc_id long, print binary, codes binary")
+    return docs.mapInArrow(make, "name binary, shingles binary")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -230,18 +277,71 @@ def links(classes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return simhash.meetings(materialise(sent, "links"), between)
 
 
+def alike(at: int, others: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which of the other sets have a similarity of SIMILARITY and more to the set `at`."""
+    own, sizes = hashes[bounds[at] : bounds[at + 1]], np.diff(bounds)[others]
+    out = (np.minimum(sizes, len(own)) >= SIMILARITY * np.maximum(sizes, len(own)) - 1e-9) & (sizes > 0)
+    if not out.any():
+        return out
+    some, sizes = others[out], sizes[out]
+    ends = np.cumsum(sizes)
+    theirs = hashes[np.repeat(bounds[some] - (ends - sizes), sizes) + np.arange(ends[-1])]
+    common = np.add.reduceat(own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs, ends - sizes, dtype=np.int64)
+    out[out] = common >= SIMILARITY * (sizes + len(own) - common) - 1e-9
+    return out
+
+
+def exact_forest(nodes: np.ndarray, prints: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs within MAX_BITS whose sets are alike."""
+    left, queue, out = np.argsort(nodes, kind="stable"), [], [(nodes[:0], nodes[:0])]
+    while len(left):
+        if not queue:
+            queue, left = [left[0]], left[1:]
+        at = queue.pop()
+        near = np.flatnonzero(_distance(prints[left], prints[at]) <= MAX_BITS)
+        near = near[alike(at, left[near], hashes, bounds)]
+        found, left = left[near], np.delete(left, near)
+        out.append((np.full(len(found), nodes[at]), nodes[found]))
+        queue += found.tolist()
+    a, b = (np.concatenate(side) for side in zip(*out, strict=True))
+    return a, b
+
+
+def accepted_links(docs: DataFrame, classes: DataFrame, proposed: DataFrame, shingle: int) -> DataFrame:
+    """Links (src, dst) between nodes of one proposed component (node, component), by the exact similarity of their sets."""
+    before = Window.partitionBy("component").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    piece = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / PIECE_SHINGLES).cast("int")
+    members = materialise(proposed.join(classes.select("node", "doc_id", "name", "n", "print"), "node").withColumn("piece", piece), "members")
+    texts = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = _sets(texts, shingle).join(members, "name").dropDuplicates(["node"])
+    rows = sets.select(F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("component").alias("key"), "piece", "print", "shingles")
+
+    def decide(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        prints = np.frombuffer(b"".join(table["print"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        packed = table["shingles"].to_pylist()
+        bounds = np.concatenate([[0], np.cumsum([len(p) // 8 for p in packed])]).astype(np.int64)
+        a, b = exact_forest(table["src"].to_numpy(), prints, np.frombuffer(b"".join(packed), np.uint64), bounds)
+        return pa.table({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())})
+
+    return simhash.meetings(materialise(rows, "sets"), decide)
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """doc_id and component_id, the least doc_id reachable over links, for each row whose id is not null.
 
     Texts are lower-cased (A-Z) and cut into words as the fingerprint operator does; with fewer words than a
-    shingle the whole text is one.  Null, empty and wordless texts are copies of each other.  Equal fingerprints
-    are one class, named by its least id, so groups of copies of any size add no links.  No rows: no rows.
+    shingle the whole text is one.  Null, empty and wordless texts are copies of each other.  Equal sets of shingles
+    are one class, so groups of copies of any size add no links.  No rows: no rows.
     """
-    each = materialise(sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle), "sketches")
-    classes = materialise(each.groupBy("print").agg(F.min("doc_id").alias("node"), F.min("codes").alias("codes")), "classes")
-    labels = connected_components(links(classes))
-    named = classes.select("node", "print").join(labels, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
-    return each.select("doc_id", "print").join(named, "print").select("doc_id", "component_id")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    each = materialise(sketches(texts, shingle), "sketches")
+    classes = materialise(each.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("print").alias("print"), F.min("codes").alias("codes")).withColumn("node", F.xxhash64("name")), "classes")
+    proposed = connected_components(links(classes))
+    labels = materialise(connected_components(accepted_links(texts, classes, proposed, shingle)), "labels")
+    least = labels.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = classes.select("name", "node", "doc_id").join(labels, "node", "left").join(least, "component", "left").select("name", F.coalesce("least", "doc_id").alias("component_id"))
+    return each.select("doc_id", "name").join(named, "name").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:

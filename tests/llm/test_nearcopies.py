@@ -110,3 +110,33 @@ def test_hot_ranges_of_fingerprints_lose_no_link(spark):
     every = groups([(int(a), int(b)) for a in prints for b in prints if a < b and (int(a) ^ int(b)).bit_count() <= 3])
     assert links() == every
     assert links(limit=500, large=20, chunk=32) == every
+
+
+def test_groups_are_those_of_the_exact_similarity(spark):
+    rnd = random.Random(31)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(150, 500))]
+        texts.append(base)
+        for changes in (0.8, 0.9, 1.0, 1.1, 1.2, 1.4):  # about as many shingles as make 0.8
+            copy = list(base)
+            for k in rnd.sample(range(5, len(base) - 5), round(changes * len(base) / 45)):
+                copy[k] = f"new{rnd.randrange(10**6)}"
+            texts.append(copy)
+        texts.append(base[: len(base) * 5 // 6])
+    line = [f"line{k}" for k in range(9)]
+    for _ in range(2):  # unlike but for a line that is repeated
+        texts.append(line * 60 + [f"o{rnd.randrange(10**6)}" for _ in range(80)])
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()}
+    want = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a - a % 8, a):
+            if want[a] != want[b] and jaccard(texts[a], texts[b]) >= 0.8:
+                low, high = sorted((want[a], want[b]))
+                want = [low if w == high else w for w in want]
+    alone = sum(w == k for k, w in enumerate(want))
+    assert 100 < alone < 400
+    joined = [(a, b) for a in range(len(texts)) for b in range(a) if got[a] == got[b]]
+    assert all(want[a] == want[b] for a, b in joined)
+    assert len(joined) >= 0.99 * sum(want[a] == want[b] for a in range(len(texts)) for b in range(a))
