@@ -1,4 +1,4 @@
-"""Benchmark passages in documents, by CGK embedding and bit-sampling LSH over item-sized windows.
+"""Benchmark passages in documents: item-sized windows, filtered without loss, ordered by CGK embedding, verified exactly.
 
 Words are compared: lower-case letters of any script, ASCII punctuation as space.  An item of n words is found where a
 window of n words has a word edit distance of at most k = floor(share * n) from it.
@@ -6,11 +6,14 @@ window of n words has a word edit distance of at most k = floor(share * n) from
 1. Filter without loss: k edits leave one of k + 1 stretches of the item untouched, so a match shares a run of
    ceil((n - k) / (k + 1)) words with the item (at most GRAM are used).  Documents are scanned for these grams;
    a shared gram fixes the window's start up to k words either way.
-2. Each such window and the items are embedded by the walk of Chakraborty, Goldenberg and Koucky (STOC 2016):
-   at step j copy the current word, and move on by a random bit of (j, word).  Edit distance k becomes a Hamming
-   distance of order k to k squared with constant probability.
-3. Sampled positions of the embedding are hash keys; independent walks and samples repeat until the target recall.
-4. Colliding pairs are verified by exact banded edit distance.
+2. Bound without loss: a window's distance is at least its length (or the item's, if greater) less the number of its
+   words that the item has.  Windows whose bound is beyond k are dropped.
+3. The others and the items are embedded by the walk of Chakraborty, Goldenberg and Koucky (STOC 2016): at step j copy
+   the current word, and move on by a random bit of (j, word).  Sampled positions of the embedding are hash keys.  Edit
+   distance k becomes a Hamming distance of order k to k squared, so the keys of long items at the full distance
+   seldom collide.  Therefore they only give the order: windows that collide are verified first.
+4. Windows are verified by exact edit distance (Myers's bit vectors), but for those whose bound is no better than what
+   the item's best window in the text has.  So no match is lost, whatever the length of the item.
 
 The items reach the tasks in slices of a fixed number of bytes, one pass over the documents for each slice.
 """
@@ -26,13 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks as bl
 from . import textbytes as tb
 
 SHARE, GRAM, RECALL = 0.2, 4, 0.99
 SLICE_BYTES = 8 << 20
 _BREAK = tb.SPACE.copy()
 _BREAK[[c for c in range(128) if not chr(c).isalnum()]] = True
-#: Sampled positions in a key, and the share of positions that differ at worst for a pair that must be found.
+#: Sampled positions in a key, and the share of positions that differ for a pair that is to be verified early.
 _SAMPLE, _FAR = 4, 0.35
 
 
@@ -49,22 +53,28 @@ def allowed(n: int, share: float) -> int:
 
 
 def edit_distance(a: list[int], b: list[int], most: int) -> int:
-    """Levenshtein distance if it is at most `most`, else most + 1; only a band of the table is filled."""
+    """Levenshtein distance if it is at most `most`, else most + 1; a row of the table is a pair of bit vectors."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    far = most + 1
-    row = [j if j <= most else far for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        lo, hi = max(1, i - most), min(len(b), i + most)
-        new = [far] * (len(b) + 1)
-        if i <= most:
-            new[0] = i
-        for j in range(lo, hi + 1):
-            new[j] = min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[j - 1] + 1, far)
-        row = new
-        if min(row) >= far:
-            return far
-    return row[-1]
+    if not b:
+        return len(a)
+    where: dict[int, int] = defaultdict(int)
+    for j, x in enumerate(b):
+        where[x] |= 1 << j
+    full, top, distance = (1 << len(b)) - 1, 1 << len(b) - 1, len(b)
+    up, down = full, 0
+    for x in a:
+        same = where.get(x, 0)
+        across = ((same & up) + up ^ up) | same
+        right, left = down | ~(across | up) & full, up & across
+        if right & top:
+            distance += 1
+        elif left & top:
+            distance -= 1
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        either = same | down
+        up, down = left | ~(either | right) & full, right & either
+    return min(distance, most + 1)
 
 
 def embed(words: np.ndarray, lengths: np.ndarray, walk: int, places: np.ndarray) -> np.ndarray:
@@ -90,6 +100,7 @@ class Matcher:
         hashes, bounds = _words(pa.array(texts, pa.string()))
         items = [(i, hashes[a:b]) for i, a, b in zip(item_ids, bounds[:-1], bounds[1:], strict=True) if b > a]
         self.ids, self.words = [i for i, _ in items], [w for _, w in items]
+        self.kinds = [np.unique(w) for w in self.words]
         self.lengths = np.array([len(w) for w in self.words], np.int64)
         self.slack = np.array([allowed(n, share) for n in self.lengths.tolist()], np.int64)
         self.tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - _FAR) ** _SAMPLE))
@@ -142,23 +153,46 @@ class Matcher:
         every = np.unique(np.concatenate(found), axis=0)
         return every[:, 0], every[:, 1], every[:, 2]
 
+    def _bounds(self, words: np.ndarray, rows: np.ndarray, items: np.ndarray, at: np.ndarray, have: np.ndarray) -> np.ndarray:
+        """For each window a distance from its item that it cannot be below.  Windows come by row and item."""
+        out = np.empty(len(rows), np.int64)
+        cuts = [*np.flatnonzero(bl.groups(rows, items)).tolist(), len(rows)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = self.kinds[items[a]]
+            begin, ends = int(at[a]), at[a:b] + have[a:b]
+            part = words[begin : int(ends.max())]
+            before = np.concatenate([[0], np.cumsum(own[np.minimum(np.searchsorted(own, part), len(own) - 1)] == part)])
+            out[a:b] = self.lengths[items[a]] - (before[ends - begin] - before[at[a:b] - begin])  # no window is longer
+        return out
+
+    def _collide(self, words: np.ndarray, items: np.ndarray, at: np.ndarray, have: np.ndarray) -> np.ndarray:
+        """Which windows share a key with their item."""
+        out, step = np.zeros(len(items), bool), max(1, (1 << 20) // max(1, self.wide))
+        for k in range(0, len(items), step):
+            item, start, size = items[k : k + step], at[k : k + step], have[k : k + step]
+            index = start[:, None] + np.arange(self.wide)
+            matrix = np.where(np.arange(self.wide) < size[:, None], words[np.minimum(index, len(words) - 1)], np.uint64(0))
+            out[k : k + step] = (self._lsh(matrix, size, self.lengths[item]) == self.keys[item]).any(axis=1)
+        return out
+
     def find(self, column) -> list[tuple[int, object, int, int]]:
         """(row, item id, first word, distance) of the best window of each item in each text."""
         words, bounds = _words(column)
         rows, items, at = self._candidates(words, bounds)
+        have = np.minimum(self.lengths[items], bounds[rows + 1] - at)
+        least = self._bounds(words, rows, items, at, have)
+        near = least <= self.slack[items]
+        rows, items, at, have, least = rows[near], items[near], at[near], have[near], least[near]
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for k in range(0, len(rows), 20_000):
-            row, item, start = rows[k : k + 20_000], items[k : k + 20_000], at[k : k + 20_000]
-            n = self.lengths[item]
-            have = np.minimum(n, bounds[row + 1] - start)
-            index = start[:, None] + np.arange(self.wide)
-            matrix = np.where(np.arange(self.wide) < have[:, None], words[np.minimum(index, len(words) - 1)], np.uint64(0))
-            collide = (self._lsh(matrix, have, n) == self.keys[item]).any(axis=1)
-            for r, i, s, h in zip(row[collide].tolist(), item[collide].tolist(), start[collide].tolist(), have[collide].tolist(), strict=True):
-                window, goal, most = words[s : s + h], self.words[i], int(self.slack[i])
-                distance = 0 if np.array_equal(window, goal) else edit_distance(window.tolist(), goal.tolist(), most)
-                if distance <= most and ((r, i) not in best or (distance, s) < best[r, i]):
-                    best[r, i] = (distance, s)
+        far = ~self._collide(words, items, at, have)
+        order = np.lexsort((at, least, far))
+        for r, i, s, h, low in zip(*(x[order].tolist() for x in (rows, items, at, have, least)), strict=True):
+            if (r, i) in best and (low, s) >= best[r, i]:
+                continue
+            window, goal, most = words[s : s + h], self.words[i], int(self.slack[i])
+            distance = 0 if np.array_equal(window, goal) else edit_distance(window.tolist(), goal.tolist(), most)
+            if distance <= most and ((r, i) not in best or (distance, s) < best[r, i]):
+                best[r, i] = (distance, s)
         return [(r, self.ids[i], s - int(bounds[r]), d) for (r, i), (d, s) in sorted(best.items())]
 
 

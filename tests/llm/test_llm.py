@@ -143,6 +143,20 @@ def test_edit_distance_and_lsh_recall():
     assert found >= 54
 
 
+def test_long_items_at_the_full_distance():
+    rnd = random.Random(16)
+    words = [f"u{k}" for k in range(500)]
+    for n in (100, 200, 300, 500):
+        for trial in range(6):
+            item = [rnd.choice(words) for _ in range(n)]
+            copy = list(item)
+            for k in rnd.sample(range(n), n // 5):
+                copy[k] = "other"
+            text = ["pre"] * 7 + copy + ["post"] * 5
+            ((_, _, first, distance),) = decontaminate.Matcher([trial], [" ".join(item)]).find(pa.array([" ".join(text)]))
+            assert first == 7 and distance == n // 5
+
+
 # ---------------------------------------------------------------- 4
 
 
