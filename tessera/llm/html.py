@@ -35,6 +35,8 @@ IMPLIED = {
     "option": (frozenset(["option"]), frozenset(["select"])),
     "body": (frozenset(["head"]), frozenset()),
 }
+#: Start tags that leave an open head open; any other, and text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -54,7 +56,13 @@ def build(html: str) -> Node:
     path = [root]
     at, size = 0, len(html)
 
+    def end_head() -> None:
+        if path[-1].tag == "head":
+            path.pop()
+
     def text(piece: str) -> None:
+        if piece.strip(" \t\r\n\f"):
+            end_head()
         if piece:
             path[-1].children.append(piece)
 
@@ -84,6 +92,7 @@ def build(html: str) -> Node:
         tag = m.group(2).lower()
         if m.group(1):
             if tag == "br":
+                end_head()
                 path[-1].children.append(Node("br"))
             elif tag == "p" and not any(n.tag == "p" for n in path):
                 path[-1].children.append(Node("p"))
@@ -95,6 +104,8 @@ def build(html: str) -> Node:
                     if path[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                         break
             continue
+        if tag not in IN_HEAD:
+            end_head()
         if tag in CLOSES_P:
             close(frozenset(["p"]), frozenset(["td", "th", "table", "li", "dd", "button", "object"]))
         if tag in IMPLIED:
@@ -132,7 +143,7 @@ def visible(node: Node) -> bool:
     if not node.attrs or not node.attrs.strip(" /"):
         return True
     attrs = attributes(node.attrs)
-    return "hidden" not in attrs and not _UNSEEN.search(attrs.get("style", "")) and attrs.get("aria-hidden") != "true"
+    return "hidden" not in attrs and not _UNSEEN.search(attrs.get("style", ""))
 
 
 class _Writer:

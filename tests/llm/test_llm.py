@@ -261,6 +261,13 @@ def test_html_rows(spark):
     assert html.extract(df).count() == 3 and html.extract(df.limit(0)).count() == 0
 
 
+def test_head_without_its_end():
+    assert html.render("<head><title>T</title><p>Hello") == "Hello"
+    assert html.render("<html><head> <meta charset=x><style>p{}</style>\n<script>1</script> Hi <b>you</b></head> there") == "Hi you there"
+    assert html.render("<head><title>T</title><noscript><p>no</p></noscript><link href=x></head><body>yes") == "yes"
+    assert html.render("<p>a <span aria-hidden=true>b</span>") == "a b"
+
+
 # ---------------------------------------------------------------- 7
 
 
