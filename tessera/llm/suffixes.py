@@ -45,6 +45,19 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+def anchors_at(hashes: np.ndarray, width: int, places: int = (1 << _PLACE_BITS) - 1) -> np.ndarray:
+    """For each `width` neighbours the place of the least, by the hash's high bits and then the place.
+
+    Stretches of at most `places` hashes, overlapping by width - 1, so the bits compared are the same in a block of any size.
+    """
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    out = [np.zeros(0, np.int64)]
+    for at in range(0, len(hashes) - width + 1, places - width + 1):
+        part = hashes[at : at + places]
+        out.append((sliding_least((part & ~low) | np.arange(len(part), dtype=np.uint64), width) & low).astype(np.int64) + at)
+    return np.concatenate(out)
+
+
 class _Pieces:
     """Anchors of one block, and the pieces of text that share one."""
 
@@ -53,12 +66,7 @@ class _Pieces:
         self.ids = bl.ids(table)
         n = len(self.data)
         hashes = tb.byte_window_hashes(self.data, np.arange(max(0, n - gram + 1)), gram)
-        place = np.arange(len(hashes), dtype=np.uint64)
-        low = np.uint64((1 << _PLACE_BITS) - 1)
-        if n > int(low):
-            raise ValueError("a block holds at most 16 MB; make block_bytes smaller")
-        least = (sliding_least((hashes & ~low) | place, length - gram + 1) & low).astype(np.int64)
-        del place
+        least = anchors_at(hashes, length - gram + 1)
         valid = np.zeros(max(0, n - length + 1), bool)
         for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
             valid[a : max(a, b - length + 1)] = True

@@ -244,6 +244,16 @@ def test_suffixes(docs, empty, options):
     assert suffixes.remove_repeated_strings(empty).count() == 0
 
 
+def test_a_text_over_16_mb(spark):
+    rng = np.random.default_rng(8)
+    hashes = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    assert (suffixes.anchors_at(hashes, 77, 300) == suffixes.anchors_at(hashes, 77)).all()
+    text = rng.integers(97, 123, 17_000_000, dtype=np.uint8).tobytes().decode()
+    rows = [(1, text), (2, "x" * 5 + text[-300:]), (3, text[16_777_100:16_777_400])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixes.remove_repeated_strings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (17_000_000, 0), 2: (305, 300), 3: (300, 300)}
+
+
 # ---------------------------------------------------------------- 6
 
 
