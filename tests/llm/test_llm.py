@@ -355,6 +355,14 @@ def test_pii(spark, empty):
     assert pii.digest(empty).count() == 0
 
 
+def test_iban_before_capitals_and_digits(spark):
+    texts = ["IBAN DE89370400440532013000 BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00 Please", "DE89 3704 0044 0532 0130 00 2024", "GB82WEST12345698765432 FR14 2004 1010 0505 0001 3M02 606 X", "NO9386011117947, DE89370400440532013001"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in sorted(pii.redact(df).collect())]
+    assert got[:4] == ["IBAN [IBAN] BIC COBADEFFXXX", "[IBAN] Please", "[IBAN] 2024", "[IBAN] [IBAN] X"]
+    assert got[4].startswith("[IBAN], DE89")
+
+
 # ---------------------------------------------------------------- the pipeline
 
 
