@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -174,9 +174,9 @@ def _pieces(column):
 
 
 class Model:
-    """Labeller accuracies and scorer weights; small, of a fixed size."""
+    """Labeller accuracies and scorer weights; small, of a fixed size.  Without weights the posterior is the score."""
 
-    def __init__(self, table: np.ndarray, prior: float, weights: np.ndarray):
+    def __init__(self, table: np.ndarray, prior: float, weights: np.ndarray | None):
         self.table, self.prior, self.weights = table, prior, weights
 
     def score(self, column) -> tuple[np.ndarray, np.ndarray]:
@@ -185,15 +185,20 @@ class Model:
         for data, offsets in _pieces(column):
             v = votes(*measures(data, offsets))
             post.append(posterior(v, self.table, self.prior))
-            score.append(1 / (1 + np.exp(-np.clip((features(data, offsets, v) @ self.weights).astype(float), -50, 50))))
+            score.append(post[-1] if self.weights is None else 1 / (1 + np.exp(-np.clip((features(data, offsets, v) @ self.weights).astype(float), -50, 50))))
         return np.concatenate(post), np.concatenate(score)
 
 
+def picked(id_col: Column, share: float) -> Column:
+    """Whether the id's hash, of 63 bits, is in the share."""
+    return F.shiftrightunsigned(F.xxhash64(id_col.cast("string"), F.lit(3)), 1) < int(share * 2**63) if share < 1 else F.lit(True)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Fit labeller accuracies on the votes over all documents, then the scorer on at most `sample` of them."""
     rows = docs.count()
     share = min(1.0, 0.9 * sample / max(rows, 1))
-    pick = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)
+    pick = picked(F.col(id_col), share)
     text = F.col(text_col).cast("string").alias("text")
 
     def count(batches):
@@ -217,7 +222,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     known = {s[0]: p for s, p in zip(seen, post.tolist(), strict=True)}
     drawn = sorted((tuple(r) for r in docs.where(pick).select(text).mapInArrow(take, "code int, x binary").limit(sample).collect()), key=lambda r: (r[0], r[1]))
     if not drawn:
-        return Model(table, prior, np.zeros(_COLUMNS, np.float32))
+        return Model(table, prior, None)
     codes = np.array([d[0] for d in drawn], np.int64)
     x = np.zeros((len(drawn), _COLUMNS), np.float32)
     x[:, :_DIM] = np.frombuffer(b"".join(bytes(d[1]) for d in drawn), np.float16).reshape(len(drawn), _DIM)

@@ -77,6 +77,16 @@ def test_quality(spark, empty):
     assert quality.classify(empty).count() == 0
 
 
+def test_quality_of_a_small_sample(spark):
+    ids = spark.range(4_000_000)
+    assert 1 <= ids.where(quality.picked(F.col("id"), 9e-6 / 10)).count() <= 12
+    good = "the lamp of the house was in the old garden, and it is by the river that we sat. "
+    rows = [(k, good + f"word{k} of the day.") for k in range(50)] + [(50 + k, "### $$$ ||| " * 9 + "!!! " * 9) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.keep, r.score == r.weak_posterior) for r in quality.classify(df, sample=0).collect()}
+    assert all(got[k] == (k < 50, True) for k in range(70))
+
+
 # ---------------------------------------------------------------- 2
 
 
