@@ -40,6 +40,8 @@ PAIRED = 2
 NEAREST = 3
 _LANES = np.uint64(0x0101010101010101)
 _LANE_MOST = 255
+#: Buckets of at most so many rows return all their links, larger ones a forest.
+SMALL = 4
 CHUNK = 16_384
 _SENT = pa.schema({"src": pa.int64(), "dst": pa.int64(), "key": pa.int64(), "piece": pa.int32(), "print": pa.binary()})
 PIECE_SHINGLES = 1 << 20
@@ -189,9 +191,9 @@ def bucket_links(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> np.
     new = np.flatnonzero(bl.groups(keys))
     sizes = np.diff(np.append(new, len(keys)))
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    small = np.flatnonzero(np.repeat(sizes <= 48, sizes))
+    small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
     live = np.arange(len(small))
-    for step in range(1, 48):
+    for step in range(1, SMALL):
         live = live[live + step < len(small)]
         live = live[keys[small[live]] == keys[small[live + step]]]
         if not len(live):
@@ -199,7 +201,7 @@ def bucket_links(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> np.
         a, b = small[live], small[live + step]
         near = _distance(prints[a], prints[b]) <= MAX_BITS
         out.append((nodes[a[near]], nodes[b[near]]))
-    for at, size in zip(new[sizes > 48], sizes[sizes > 48], strict=True):
+    for at, size in zip(new[sizes > SMALL], sizes[sizes > SMALL], strict=True):
         out += _forest(nodes[at : at + size], prints[at : at + size])
     a, b = (np.concatenate(side) for side in zip(*out, strict=True))
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
