@@ -23,6 +23,8 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
     nodes = {x for a, b in pairs if a != b for x in (a, b)}
     assert got == {n: find(n) for n in nodes}
+    parts = connected_components(spark.createDataFrame(pairs, "src long, dst long"), part=40)  # stars go on from forests of parts
+    assert {r.node: r.component for r in parts.collect()} == got
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
