@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
+#: Messages of a round beyond which they go by way of groups.
+MESSAGES = 1 << 20
 
 
 def block_count(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:
@@ -28,7 +30,8 @@ def block_count(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> i
 
 
 def with_block(docs: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFrame:
-    return docs.select(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(blocks)).cast("long").alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(block, doc_id, text).  The text is hashed too, so rows of one id or none are not one block."""
+    return docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(7)), F.lit(blocks)).cast("long").alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
@@ -56,17 +59,26 @@ def unpack_sorted(buf: bytes, at: int = 0) -> tuple[np.ndarray, int]:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts as bytes; those of 255 and more follow in eight bytes each."""
-    small = np.minimum(counts, 255).astype(np.uint8)
-    return small.tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+    """Counts in two bits each; those of three and more follow in a byte, and of these the largest in eight."""
+    code = np.zeros(-(-len(counts) // 4) * 4, np.uint8)
+    code[: len(counts)] = np.minimum(counts, 3)
+    more = counts[counts >= 3] - 3
+    quarters = code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
+    return np.bitwise_or.reduce(quarters, axis=1).tobytes() + np.minimum(more, 255).astype(np.uint8).tobytes() + more[more >= 255].astype("<i8").tobytes()
 
 
 def unpack_counts(buf: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
-    counts = np.frombuffer(buf, np.uint8, n, at).astype(np.int64)
-    big = counts == 255
+    size = (n + 3) // 4
+    quarters = np.frombuffer(buf, np.uint8, size, at)
+    counts = (quarters[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).ravel()[:n].astype(np.int64)
+    large = np.flatnonzero(counts == 3)
+    more = np.frombuffer(buf, np.uint8, len(large), at + size).astype(np.int64)
+    at += size + len(large)
+    big = more == 255
     k = int(big.sum())
-    counts[big] = np.frombuffer(buf, "<i8", k, at + n)
-    return counts, at + n + 8 * k
+    more[big] = np.frombuffer(buf, "<i8", k, at)
+    counts[large] += more
+    return counts, at + 8 * k
 
 
 def range_cuts(keys: np.ndarray, ranges: int, bits: int = 64) -> np.ndarray:
@@ -76,44 +88,109 @@ def range_cuts(keys: np.ndarray, ranges: int, bits: int = 64) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
 
 
-def exchange(blocks: DataFrame, send: Callable, answer: Callable, previous: DataFrame | None = None) -> DataFrame:
-    """One round: send(text table, answers or None) yields (range, payload) for a block; answer(payloads) gives
-    an equally long list for a range.  Returns rows (block, rng, payload) for the next round or for finish()."""
+def bundle(parts: list[bytes]) -> bytes:
+    """Several payloads as one."""
+    return struct.pack("<I", len(parts)) + np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts)
 
-    def rows(block: int, parts) -> pa.Table:
-        parts = list(parts)
-        return pa.table({"rng": pa.array([r for r, _ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int64()), "payload": pa.array([p for _, p in parts], pa.binary())})
+
+def unbundle(buf: bytes) -> list[bytes]:
+    n = int.from_bytes(buf[:4], "little")
+    sizes = np.frombuffer(buf, "<u4", n, 4).astype(np.int64)
+    ends = 4 + 4 * n + np.cumsum(sizes)
+    return [buf[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
+class Plan:
+    """How many blocks and ranges there are, and how many ranges and blocks share a hop (0: no hops).
+
+    Each block has something for each range.  Up to `most` messages a round go straight.  Beyond that they take two
+    hops: fan = sqrt(ranges) ranges are one coarse range and fan blocks one group; a block writes to coarse ranges, and
+    each pair of a group and a coarse range deals what it got to the ranges, so a round has blocks * sqrt(ranges) messages.
+    """
+
+    def __init__(self, blocks: int, ranges: int, most: int = MESSAGES):
+        self.blocks, self.ranges = blocks, ranges
+        self.fan = math.ceil(math.sqrt(ranges)) if blocks * ranges > most else 0
+
+
+def _rows(number: str, values, **more) -> pa.Table:
+    kinds = {"rng": pa.int32(), "block": pa.int64(), "grp": pa.int64(), "payload": pa.binary()}
+    return pa.table({k: pa.array(v, kinds[k]) for k, v in {number: values, **more}.items()})
+
+
+def _in_order(table: pa.Table, column: str) -> tuple[np.ndarray, list[bytes]]:
+    order = np.argsort(table[column].to_numpy(), kind="stable")
+    return table[column].to_numpy()[order], table["payload"].take(pa.array(order)).to_pylist()
+
+
+def exchange(blocks: DataFrame, plan: Plan, send: Callable, answer: Callable, previous: DataFrame | None = None) -> DataFrame:
+    """One round: send(text table, answers or None) gives a block's payloads for all ranges, in order; answer(payloads)
+    gives an equally long list for a range.  Returns rows (block, rng, payload) for the next round or for finish()."""
+    fan = plan.fan
+
+    def rows(block: int, payloads) -> pa.Table:
+        payloads = list(payloads)
+        if fan:
+            payloads = [bundle(payloads[k : k + fan]) for k in range(0, len(payloads), fan)]
+        return _rows("rng", range(len(payloads)), block=[block] * len(payloads), payload=payloads)
 
     sent_schema = "rng int, block long, payload binary"
     if previous is None:
         sent = blocks.groupBy("block").applyInArrow(lambda table: rows(table["block"][0].as_py(), send(table, None)), sent_schema)
     else:
         def resend(table: pa.Table, answers: pa.Table) -> pa.Table:
-            if table.num_rows == 0:
-                return rows(0, [])
-            return rows(table["block"][0].as_py(), send(table, by_range(answers)))
+            return rows(table["block"][0].as_py(), send(table, by_range(answers, fan))) if table.num_rows else rows(0, [])
 
         sent = blocks.groupBy("block").cogroup(previous.groupBy("block")).applyInArrow(resend, sent_schema)
 
     def reply(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["block"].to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        out = answer(table["payload"].to_pylist())
-        return pa.table({"block": table["block"], "rng": table["rng"], "payload": pa.array(out, pa.binary())})
-
-    return sent.groupBy("rng").applyInArrow(reply, "block long, rng int, payload binary")
-
-
-def by_range(answers: pa.Table) -> list[bytes]:
-    order = np.argsort(answers["rng"].to_numpy(), kind="stable")
-    return answers["payload"].take(pa.array(order)).to_pylist()
-
-
-def finish(blocks: DataFrame, answers: DataFrame, result: Callable, schema: str) -> DataFrame:
+        block, payloads = _in_order(table, "block")
+        return _rows("block", block, rng=[table["rng"][0].as_py()] * len(block), payload=answer(payloads))
+
+    if not fan:
+        return sent.groupBy("rng").applyInArrow(reply, "block long, rng int, payload binary")
+
+    def deal(table: pa.Table) -> pa.Table:
+        """What a group of blocks sent to a coarse range, to its ranges."""
+        block, payloads = _in_order(table, "block")
+        parts, first = [unbundle(p) for p in payloads], table["rng"][0].as_py() * fan
+        names = block.astype("<i8").tobytes()
+        out = [bundle([names, *(p[k] for p in parts)]) for k in range(len(parts[0]))]
+        return _rows("rng", range(first, first + len(out)), grp=[int(block[0]) // fan] * len(out), payload=out)
+
+    def reply_to_groups(table: pa.Table) -> pa.Table:
+        grp, payloads = _in_order(table, "grp")
+        parts = [unbundle(p) for p in payloads]
+        out, at = answer([x for p in parts for x in p[1:]]), 0
+        back = []
+        for p in parts:
+            back.append(bundle([p[0], *out[at : at + len(p) - 1]]))
+            at += len(p) - 1
+        return _rows("grp", grp, rng=[table["rng"][0].as_py()] * len(grp), payload=back)
+
+    def hand_back(table: pa.Table) -> pa.Table:
+        """The answers of a coarse range's ranges to a group of blocks, to the blocks."""
+        rng, payloads = _in_order(table, "rng")
+        parts = [unbundle(p) for p in payloads]
+        block = np.frombuffer(parts[0][0], "<i8")
+        out = [bundle([p[k + 1] for p in parts]) for k in range(len(block))]
+        return _rows("block", block, rng=[int(rng[0]) // fan] * len(block), payload=out)
+
+    dealt = sent.groupBy("rng", F.floor(F.col("block") / fan).alias("grp")).applyInArrow(deal, "rng int, grp long, payload binary")
+    answered = dealt.groupBy("rng").applyInArrow(reply_to_groups, "grp long, rng int, payload binary")
+    return answered.groupBy("grp", F.floor(F.col("rng") / fan).alias("coarse")).applyInArrow(hand_back, "block long, rng int, payload binary")
+
+
+def by_range(answers: pa.Table, fan: int) -> list[bytes]:
+    payloads = _in_order(answers, "rng")[1]
+    return [x for p in payloads for x in unbundle(p)] if fan else payloads
+
+
+def finish(blocks: DataFrame, plan: Plan, answers: DataFrame, result: Callable, schema: str) -> DataFrame:
     """result(text table, payloads by range) makes the rows of a block."""
 
     def apply(table: pa.Table, replies: pa.Table) -> pa.Table:
-        return result(table, by_range(replies))
+        return result(table, by_range(replies, plan.fan))
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, schema)
 
@@ -163,15 +240,16 @@ def split_back(flags: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
     return np.split(flags, np.cumsum(lengths)[:-1]) if lengths else []
 
 
-def two_rounds(first: DataFrame, second: DataFrame) -> DataFrame:
-    return first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
-
+def pack_places(places: np.ndarray) -> bytes:
+    """A list of places in a block, which may follow others."""
+    return struct.pack("<I", len(places)) + pack_values(places)
 
-def finish_two(blocks: DataFrame, answers: DataFrame, result: Callable, schema: str) -> DataFrame:
-    """As finish(), with the answers of two rounds."""
 
-    def apply(table: pa.Table, replies: pa.Table) -> pa.Table:
-        turn = replies["round"].to_numpy()
-        return result(table, *(by_range(replies.filter(pa.array(turn == k))) for k in (1, 2)))
-
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, schema)
+def unpack_places(buf: bytes) -> list[np.ndarray]:
+    """All lists of a payload."""
+    out, at = [], 0
+    while at < len(buf):
+        n = int.from_bytes(buf[at : at + 4], "little")
+        places, at = unpack_values(buf, n, at + 4)
+        out.append(places)
+    return out

@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 
 from . import blocks as bl
 from . import textbytes as tb
-from .substring import _bits, _joined, _merge_sketches
 
 LENGTH, GRAM, STRIDE = 100, 24, 50
 BLOCK_BYTES = 2 << 20
@@ -59,105 +58,147 @@ def anchors_at(hashes: np.ndarray, width: int, places: int = (1 << _PLACE_BITS)
 
 
 class _Pieces:
-    """Anchors of one block, and the pieces of text that share one."""
+    """The pieces of one block: consecutive strings that share an anchor, in order of the anchors' hashes."""
 
     def __init__(self, table: pa.Table, length: int, gram: int):
-        self.data, self.offsets = tb.column_bytes(table["text"])
-        self.ids = bl.ids(table)
-        n = len(self.data)
-        hashes = tb.byte_window_hashes(self.data, np.arange(max(0, n - gram + 1)), gram)
+        data, offsets = tb.column_bytes(table["text"])
+        n = len(data)
+        hashes = tb.byte_window_hashes(data, np.arange(max(0, n - gram + 1)), gram)
         least = anchors_at(hashes, length - gram + 1)
         valid = np.zeros(max(0, n - length + 1), bool)
-        for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             valid[a : max(a, b - length + 1)] = True
         at = np.flatnonzero(valid)
         anchor = least[at]
         new = bl.groups(anchor) if len(at) else np.zeros(0, bool)
         if len(at):
             new[1:] |= at[1:] != at[:-1] + 1
-        first = np.flatnonzero(new)
-        self.first = at[first]  # of each piece: its first string,
-        self.size = np.diff(np.append(first, len(at)))  # how many strings,
-        self.value = tb.mix64(hashes[anchor[first]])  # and the hash of their anchor, mixed again: the least are all small
-        self.doc = np.searchsorted(self.offsets, self.first, "right") - 1
-        order = np.argsort(self.value, kind="stable")
-        start = bl.groups(self.value[order])
-        self.keys = self.value[order][start]
-        self.key_of = np.empty(len(order), np.int64)
-        self.key_of[order] = np.cumsum(start) - 1
-        self.many = np.diff(np.append(np.flatnonzero(start), len(order))) > 1
-        self.length = length
-
-    def pick(self, repeated: np.ndarray) -> None:
-        """Keep pieces with repeated anchors; of equal texts in the block the earliest speaks for all."""
-        keep = np.flatnonzero(repeated[self.key_of]) if len(self.key_of) else np.zeros(0, np.int64)
-        first, size = self.first[keep], self.size[keep]
-        ids, place = self.ids[self.doc[keep]], first - self.offsets[self.doc[keep]]
-        ends = first + size + self.length - 1
-        a, b = (tb._ranges(tb._BYTE_VALUES[k][self.data], first, ends, 2 + k) for k in (0, 1))
-        order = np.lexsort((place, ids, b, a, self.value[keep]))
-        new = bl.groups(self.value[keep][order], a[order], b[order])
         head = np.flatnonzero(new)
-        self.spoken = np.empty(len(order), np.int64)  # which sent piece speaks for a piece
-        self.spoken[order] = np.cumsum(new) - 1
-        lead = order[head]
-        self.sent_value, self.sent_first, self.sent_size, self.sent_ids, self.sent_place = self.value[keep][lead], first[lead], size[lead], ids[lead], place[lead]
-        self.kept_first, self.kept_size = first, size
-        self.behind = (ids != self.sent_ids[self.spoken]) | (place != self.sent_place[self.spoken]) if len(order) else np.zeros(0, bool)
-
-    def payload(self, part: slice) -> bytes:
-        first, size = self.sent_first[part], self.sent_size[part]
-        spans = size + self.length - 1
-        total = int(spans.sum())
-        index = np.repeat(first - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(total) if total else np.zeros(0, np.int64)
-        return len(first).to_bytes(4, "little") + size.astype(np.uint8).tobytes() + bl.pack_values(self.sent_ids[part]) + bl.pack_values(self.sent_place[part]) + self.data[index].tobytes()
-
-
-def _unpack(buf: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n = int.from_bytes(buf[:4], "little")
-    size = np.frombuffer(buf, np.uint8, n, 4).astype(np.int64)
-    ids, at = bl.unpack_values(buf, n, 4 + n)
+        value = tb.mix64(hashes[anchor[head]])  # the hash of the anchor, mixed again: the least are all small
+        order = tb.stable_order(value)
+        self.value, self.first, self.size = value[order], at[head][order], np.diff(np.append(head, len(at)))[order]
+
+    def payloads(self, ranges: int):
+        """The pieces of each range: hash of the anchor, first string and number of strings."""
+        cuts = bl.range_cuts(self.value, ranges)
+        for r in range(ranges):
+            part = slice(cuts[r], cuts[r + 1])
+            yield bl.pack_sorted(self.value[part]) + self.size[part].astype(np.uint8).tobytes() + bl.pack_values(self.first[part])
+
+
+def _repeated_anchors(payloads: list[bytes]) -> list[bytes]:
+    """Of each payload the pieces whose anchor occurs again: hash of the anchor, first string and number of strings."""
+    values = [bl.unpack_sorted(p) for p in payloads]
+    flat = np.concatenate([v for v, _ in values])
+    order = tb.stable_order(flat)
+    new = bl.groups(flat[order])
+    again = ~new
+    again[:-1] |= ~new[1:]
+    repeated = np.empty(len(order), bool)
+    repeated[order] = again
+    out = []
+    for p, (v, at), mine in zip(payloads, values, bl.split_back(repeated, [len(v) for v, _ in values]), strict=True):
+        size = np.frombuffer(p, np.uint8, len(v), at)
+        out.append(bl.pack_sorted(v[mine]) + size[mine].tobytes() + bl.pack_values(bl.unpack_values(p, len(v), at + len(v))[0][mine]))
+    return out
+
+
+def _asked(table: pa.Table, answers: list[bytes], length: int):
+    """For each range what a block asks it: the text of its pieces with repeated anchors.  Of equal texts in the block
+    the earliest asks; what lies behind it is known to be removed and goes along, to come back with the answer."""
+    data, offsets = tb.column_bytes(table["text"])
+    doc_ids = bl.ids(table)
+    values, firsts, sizes = [], [], []
+    for a in answers:
+        value, at = bl.unpack_sorted(a)
+        values.append(value)
+        sizes.append(np.frombuffer(a, np.uint8, len(value), at).astype(np.int64))
+        firsts.append(bl.unpack_values(a, len(value), at + len(value))[0])
+    bounds = np.concatenate([[0], np.cumsum([len(f) for f in firsts])])
+    value, first, size = np.concatenate(values), np.concatenate(firsts), np.concatenate(sizes)
+    name_a, name_b = (tb._ranges(tb._BYTE_VALUES[k][data], first, first + size + length - 1, 2 + k) for k in (0, 1))
+    doc = np.searchsorted(offsets, first, "right") - 1
+    doc_id, place = doc_ids[doc], first - offsets[doc]
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        order = lo + np.lexsort((place[lo:hi], doc_id[lo:hi], name_b[lo:hi], name_a[lo:hi]))
+        lead = order[np.flatnonzero(new := bl.groups(name_a[order], name_b[order]))][np.cumsum(new) - 1] if len(order) else order
+        behind = (doc_id[order] != doc_id[lead]) | (place[order] != place[lead])
+        mine, known = np.sort(order[~behind]), order[behind]
+        spans = size[mine] + length - 1
+        index = np.repeat(first[mine] - (np.cumsum(spans) - spans), spans) + np.arange(int(spans.sum()))
+        yield bl.pack_sorted(value[mine]) + size[mine].astype(np.uint8).tobytes() + bl.pack_values(doc_id[mine]) + bl.pack_values(place[mine]) + bl.pack_values(first[mine]) + bl.pack_places(first[known]) + size[known].astype(np.uint8).tobytes() + data[index].tobytes()
+
+
+def _unpack(buf: bytes, length: int):
+    """(value, size, ids, place, first, text) of the pieces asked about, and (first, size) of those known to be removed."""
+    value, at = bl.unpack_sorted(buf)
+    n = len(value)
+    size = np.frombuffer(buf, np.uint8, n, at).astype(np.int64)
+    ids, at = bl.unpack_values(buf, n, at + n)
     place, at = bl.unpack_values(buf, n, at)
-    return size, ids, place, np.frombuffer(buf, np.uint8, int((size + length - 1).sum()), at)
+    first, at = bl.unpack_values(buf, n, at)
+    m = int.from_bytes(buf[at : at + 4], "little")
+    known, at = bl.unpack_values(buf, m, at + 4)
+    known_size = np.frombuffer(buf, np.uint8, m, at).astype(np.int64)
+    return value, size, ids, place, first, np.frombuffer(buf, np.uint8, int((size + length - 1).sum()), at + m), known, known_size
+
+
+def _ranks(symbols: np.ndarray) -> np.ndarray:
+    """Dense ranks of symbols; 0 is the end and ranks first."""
+    order = tb.stable_order(symbols)
+    out = np.empty(len(symbols), np.uint64)
+    new = bl.groups(symbols[order])
+    out[order] = np.cumsum(new) - (1 if len(order) and symbols[order[0]] == 0 else 0)
+    return out
 
 
 def shard_transforms(symbols: np.ndarray, sequence: np.ndarray, shard: np.ndarray, deep: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of each shard in order, shard after shard, and the symbol before each: their transforms.
 
-    symbols are the sequences one after the other, each ended by 0; `deep` is the longest.
+    symbols are ranks, the sequences one after the other, each ended by 0; the order is by `deep` symbols.
     """
     n = len(symbols)
     keys, ahead = [], symbols
-    last = np.zeros(n, bool)
+    last = np.ones(n, bool)
     last[:-1] = sequence[1:] != sequence[:-1]
-    if n:
-        last[-1] = True
     for _ in range(deep):
         keys.append(ahead)
         ahead = np.where(last, np.uint64(0), np.append(ahead[1:], np.uint64(0)))
-    order = np.lexsort((*keys[::-1], shard))  # equal suffixes stay in the order of their sequences
+    order = np.arange(n)
+    for key in (*keys[::-1], shard.astype(np.uint64)):  # equal suffixes stay in the order of their sequences
+        order = order[tb.stable_order(key[order])]
     before = np.zeros(n, np.uint64)
     before[1:] = np.where(sequence[1:] == sequence[:-1], symbols[:-1], np.uint64(0))
     return order, before[order]
 
 
-def merge_transforms(transforms: np.ndarray, shard: np.ndarray, rounds: int) -> np.ndarray:
-    """For each suffix (shard after shard, in its shard's order) the run it ends in: suffixes whose first `rounds`
-    symbols agree.  transforms are the symbols before the suffixes, shard the shard numbers, ascending."""
-    interleave = shard.copy()
-    run = np.zeros(len(shard), np.int64)
-    for _ in range(rounds):
-        read = np.argsort(interleave, kind="stable")  # the k-th of a shard in the interleave is its k-th suffix
-        symbols = np.empty_like(transforms)
-        symbols[read] = transforms
-        deal = np.argsort(symbols, kind="stable")
-        interleave, symbols, run = interleave[deal], symbols[deal], run[deal]
-        new = np.zeros(len(run), bool)
-        new[1:] = (symbols[1:] != symbols[:-1]) | ((symbols[1:] != 0) & (run[1:] != run[:-1]))
-        run = np.cumsum(new)
-    out = np.empty_like(run)
-    out[:] = run[np.argsort(interleave, kind="stable")]
-    return out
+def merge_transforms(transforms: np.ndarray, shard: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the suffixes (numbered shard after shard, in their shard's order) in the order of their first
+    `rounds` symbols, and for each how many of these it has in common with the one before it.
+
+    transforms are the symbols before the suffixes, shard the shard numbers, ascending.
+    """
+    n = len(shard)
+    interleave, common = shard.astype(np.uint64), np.zeros(n, np.int64)
+    for done in range(rounds + 1):
+        read = tb.stable_order(interleave)  # the k-th of a shard in the interleave is its k-th suffix
+        order = np.empty(n, np.int64)
+        order[read] = np.arange(n)
+        if done == rounds:
+            return order, common
+        symbols = transforms[order]
+        deal = tb.stable_order(symbols)
+        interleave, symbols = interleave[deal], symbols[deal]
+        # a prefix of one symbol more is common as far as the suffixes after the symbol have one in common
+        alike = np.zeros(n, bool)
+        alike[1:] = (symbols[1:] == symbols[:-1]) & (symbols[1:] != 0)
+        grown = alike.astype(np.int64)
+        for depth in range(1, done + 1):
+            run = np.cumsum(common < depth)[deal]
+            alike[1:] &= run[1:] == run[:-1]
+            grown += alike
+        common = grown
+    raise AssertionError
 
 
 def repeated_strings(data: np.ndarray, size: np.ndarray, ids: np.ndarray, place: np.ndarray, shard: np.ndarray, length: int, stride: int) -> np.ndarray:
@@ -177,32 +218,38 @@ def repeated_strings(data: np.ndarray, size: np.ndarray, ids: np.ndarray, place:
     symbols = np.zeros(len(sequence), np.uint64)
     symbols[real] = tb.byte_window_hashes(data, at[real], stride) | np.uint64(1)
     own = shard[piece][sequence]
-    order, transforms = shard_transforms(symbols, sequence, own, int(count.max(initial=1)))
-    run = merge_transforms(transforms, own[order], per)
-    found = np.empty(len(sequence), np.int64)
-    found[order] = run
-    starts = step < strings[sequence]
+    suffixes, transforms = shard_transforms(_ranks(symbols), sequence, own, per)
+    order, common = merge_transforms(transforms, own[suffixes], per)
+    # a repeated interval: suffixes that have the whole length in common, each with the one before it
+    interval = np.empty(len(sequence), np.int64)
+    interval[suffixes[order]] = np.cumsum(common < per)
+    starts = np.flatnonzero(step < strings[sequence])
     where_piece = piece[sequence[starts]]
     offset = phase[sequence[starts]] + step[starts] * stride
-    run, doc, pos = found[starts], ids[where_piece], place[where_piece] + offset
-    order = np.lexsort((pos, doc, run))
-    new = bl.groups(run[order])
-    lead = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
-    later = np.zeros(len(order), bool)
-    later[order] = (doc[order] != doc[lead]) | (pos[order] != pos[lead])
+    run, doc, pos = interval[starts], ids[where_piece], place[where_piece] + offset
+    order = tb.stable_order(run.astype(np.uint64))
+    run, doc, pos = run[order], doc[order], pos[order]
+    new = bl.groups(run)
+    head, group = np.flatnonzero(new), np.cumsum(new) - 1
+    first_doc = np.minimum.reduceat(doc, head)[group] if len(head) else doc
+    first_pos = np.minimum.reduceat(np.where(doc == first_doc, pos, bl.NO_ID), head)[group] if len(head) else pos
     flat = np.concatenate([[0], np.cumsum(size)])[:-1]
     out = np.zeros(int(size.sum()), bool)
-    out[flat[where_piece] + offset] = later
+    out[(flat[where_piece] + offset)[order]] = (doc != first_doc) | (pos != first_pos)
     return out
 
 
 def _judge(payloads: list[bytes], length: int, stride: int) -> list[bytes]:
+    """For each payload the runs of strings to be removed: first string and number of strings.
+
+    Of equal pieces of several blocks the earliest goes on, all strings of the others occur earlier.  Where an anchor
+    has one text alone, none of its strings occurs twice: equal strings have their anchor at the same place, so two of
+    one piece would begin at one place.  The others are merged, each block a shard.
+    """
     parts = [_unpack(p, length) for p in payloads]
-    size, ids, place, data = (np.concatenate(x) for x in zip(*parts, strict=True))
-    # 16 bits where they are enough: such keys are sorted by radix
-    shard = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]).astype(np.uint16 if len(parts) < 1 << 16 else np.int64)
+    value, size, ids, place, first, data = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:6])
+    shard = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     begin = np.concatenate([[0], np.cumsum(size + length - 1)])
-    # equal pieces of several blocks: the earliest goes on, all strings of the others occur earlier
     a, b = (tb._ranges(tb._BYTE_VALUES[k][data], begin[:-1], begin[1:], 2 + k) for k in (0, 1))
     order = np.lexsort((place, ids, b, a))
     new = bl.groups(a[order], b[order])
@@ -211,19 +258,31 @@ def _judge(payloads: list[bytes], length: int, stride: int) -> list[bytes]:
     lead[order] = head[np.cumsum(new) - 1] if len(order) else order
     behind = (ids != ids[lead]) | (place != place[lead])
     alone = np.sort(head)
-    spans = (size + length - 1)[alone]
-    index = np.repeat(begin[:-1][alone] - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(int(spans.sum())) if len(alone) else np.zeros(0, np.int64)
-    judged = repeated_strings(data[index], size[alone], ids[alone], place[alone], shard[alone], length, stride)
+    _, texts_of, texts = np.unique(value[alone], return_inverse=True, return_counts=True)
+    merged = alone[texts[texts_of] > 1]
+    spans = (size + length - 1)[merged]
+    index = np.repeat(begin[:-1][merged] - (np.cumsum(spans) - spans), spans) + np.arange(int(spans.sum()))
+    flat = np.cumsum(size) - size
+    judged = np.zeros(int(size.sum()), bool)
+    judged[np.repeat(flat[merged] - (np.cumsum(size[merged]) - size[merged]), size[merged]) + np.arange(int(size[merged].sum()))] = repeated_strings(data[index], size[merged], ids[merged], place[merged], shard[merged], length, stride)
     # a piece that is no head has its head's answers, and true everywhere if it lies behind it
-    flat = np.concatenate([[0], np.cumsum(size[alone])])[:-1]
-    spot = np.empty(len(size), np.int64)
-    spot[alone] = np.arange(len(alone))
-    source = np.repeat(flat[spot[lead]] if len(size) else flat, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    answer = judged[source] | np.repeat(behind, size)
-    return [np.packbits(x).tobytes() for x in bl.split_back(answer, [int(p[0].sum()) for p in parts])]
+    piece_of = np.repeat(np.arange(len(size)), size)
+    within = np.arange(len(piece_of)) - flat[piece_of]
+    gone = judged[flat[lead][piece_of] + within] | behind[piece_of]
+    opens = gone.copy()
+    opens[1:] &= ~gone[:-1] | (within[1:] == 0)
+    at = np.flatnonzero(opens)
+    run = np.diff(np.append(np.cumsum(gone)[at] - 1, gone.sum())) if len(at) else np.zeros(0, np.int64)
+    start = first[piece_of[at]] + within[at]
+    cuts = np.searchsorted(at, np.concatenate([[0], np.cumsum([int(p[1].sum()) for p in parts])]))
+    out = []
+    for (*_, known, known_size), lo, hi in zip(parts, cuts[:-1], cuts[1:], strict=True):
+        places, strings = np.concatenate([start[lo:hi], known]), np.concatenate([run[lo:hi], known_size])
+        out.append(bl.pack_places(places) + strings.astype(np.uint8).tobytes())
+    return out
 
 
-def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, stride: int = STRIDE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, stride: int = STRIDE, block_bytes: int = BLOCK_BYTES, messages: int = bl.MESSAGES) -> DataFrame:
     """Remove each byte covered by a string of `length` bytes that also starts earlier: in a smaller id, or before.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256.  A null text is empty; a null id counts as larger than
@@ -233,45 +292,29 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     if length % stride or gram > length or length - gram + 1 > 255:
         raise ValueError("stride must divide length, and length - gram be under 255")
     count = bl.block_count(docs, text_col, block_bytes)
-    ranges = max(1, (count + 1) // 2)
+    plan = bl.Plan(count, max(1, (count + 1) // 2), messages)
     split = bl.with_block(docs, id_col, text_col, count)
 
-    def anchors(table, _):
-        p = _Pieces(table, length, gram)
-        cuts = bl.range_cuts(p.keys, ranges)
-        for r in range(ranges):
-            part = slice(cuts[r], cuts[r + 1])
-            yield r, bl.pack_sorted(p.keys[part]) + np.packbits(p.many[part]).tobytes()
-
-    def pieces(table, answers):
-        p = _Pieces(table, length, gram)
-        p.pick(_joined(answers, bl.range_cuts(p.keys, ranges)))
-        cuts = bl.range_cuts(p.sent_value, ranges)
-        for r in range(ranges):
-            yield r, p.payload(slice(cuts[r], cuts[r + 1]))
-
-    def result(table, first, second):
-        p = _Pieces(table, length, gram)
-        p.pick(_joined(first, bl.range_cuts(p.keys, ranges)))
-        before = np.concatenate([[0], np.cumsum(p.sent_size)])
-        cuts = before[bl.range_cuts(p.sent_value, ranges)]
-        judged = np.concatenate([np.zeros(0, bool), *(_bits(a, int(hi - lo)) for a, lo, hi in zip(second, cuts[:-1], cuts[1:], strict=True))])
-        within = np.arange(int(p.kept_size.sum())) - np.repeat(np.cumsum(p.kept_size) - p.kept_size, p.kept_size)
-        gone = judged[np.repeat(before[:-1][p.spoken], p.kept_size) + within] | np.repeat(p.behind, p.kept_size) if len(within) else np.zeros(0, bool)
-        at = (np.repeat(p.kept_first, p.kept_size) + within)[gone]
-        removed = tb.ranges_to_mask(len(p.data), at, at + length)
+    def result(table, answers):
+        data, offsets = tb.column_bytes(table["text"])
+        starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in answers:
+            n = int.from_bytes(a[:4], "little")
+            first, at = bl.unpack_values(a, n, 4)
+            starts.append(first)
+            ends.append(first + np.frombuffer(a, np.uint8, n, at) + (length - 1))
+        removed = tb.ranges_to_mask(len(data), np.concatenate(starts), np.concatenate(ends))
         edge = np.zeros(len(removed), bool)
-        edge[p.offsets[:-1][p.offsets[:-1] < len(removed)]] = True
+        edge[offsets[:-1][offsets[:-1] < len(removed)]] = True
         opens = removed.copy()
         opens[1:] &= ~removed[:-1] | edge[1:]
-        total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[p.offsets])
-        n_removed = total(removed)
-        n_bytes = np.diff(p.offsets)
-        kept = p.data[~removed].tobytes()
-        ends = np.concatenate([[0], np.cumsum(n_bytes - n_removed)]).tolist()
-        hashes = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.table({"doc_id": bl.id_array(p.ids), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(total(opens), pa.int64()), "kept_sha256": pa.array(hashes, pa.string())})
-
-    first = bl.exchange(split, anchors, _merge_sketches)
-    second = bl.exchange(split, pieces, lambda payloads: _judge(payloads, length, stride), first)
-    return bl.finish_two(split, bl.two_rounds(first, second), result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets])
+        n_removed, n_bytes = total(removed), np.diff(offsets)
+        kept = data[~removed].tobytes()
+        cuts = np.concatenate([[0], np.cumsum(n_bytes - n_removed)]).tolist()
+        hashes = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"doc_id": bl.id_array(bl.ids(table)), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(total(opens), pa.int64()), "kept_sha256": pa.array(hashes, pa.string())})
+
+    first = bl.exchange(split, plan, lambda table, _: _Pieces(table, length, gram).payloads(plan.ranges), _repeated_anchors)
+    second = bl.exchange(split, plan, lambda table, answers: _asked(table, answers, length), lambda payloads: _judge(payloads, length, stride), first)
+    return bl.finish(split, plan, second, result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

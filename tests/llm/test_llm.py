@@ -46,8 +46,14 @@ def test_block_packing():
     assert (blocks.unpack_sorted(blocks.pack_sorted(keys))[0] == keys).all()
     values = np.array([-5, 3, 2**40], np.int64)
     assert (blocks.unpack_values(blocks.pack_values(values), 3, 0)[0] == values).all()
-    counts = np.array([0, 254, 255, 70000], np.int64)
-    assert (blocks.unpack_counts(blocks.pack_counts(counts), 4)[0] == counts).all()
+    counts = np.array([0, 1, 2, 3, 254, 257, 258, 70000, 1], np.int64)
+    assert (blocks.unpack_counts(blocks.pack_counts(counts), 9)[0] == counts).all()
+    assert blocks.unbundle(blocks.bundle([b"a", b"", b"bc"])) == [b"a", b"", b"bc"]
+    rng = np.random.default_rng(3)
+    for wide in (1 << 20, 1 << 63):
+        x = rng.integers(0, wide, 5000, dtype=np.uint64) | np.uint64(wide)
+        x[:900] = x[900:1800]
+        assert (textbytes.stable_order(x) == np.argsort(x, kind="stable")).all()
 
 
 def test_words_and_windows():
@@ -224,8 +230,8 @@ def test_substring(docs, empty):
         w = WORD.findall(t or "")
         gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
         want[i] = (len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest())
-    for size in (300, 1 << 22):
-        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeated_windows(docs, block_bytes=size).collect()}
+    for options in ({"block_bytes": 300}, {}, {"block_bytes": 300, "messages": 1}):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeated_windows(docs, **options).collect()}
         assert got == want
     assert substring.remove_repeated_windows(empty).count() == 0
     same = docs.unionByName(docs.where("doc_id = 13"))
@@ -247,7 +253,7 @@ def _bytes_kept(rows, length):
     return want
 
 
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 500}, {"stride": 20}, {"length": 40, "gram": 10, "stride": 8, "block_bytes": 700}])
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 500}, {"block_bytes": 500, "messages": 1}, {"stride": 20}, {"length": 40, "gram": 10, "stride": 8, "block_bytes": 700}])
 def test_suffixes(docs, empty, options):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeated_strings(docs, **options).collect()}
     assert got == _bytes_kept(corpus(), options.get("length", 100))
@@ -326,19 +332,34 @@ def test_mixing(docs, empty):
 def test_lm(docs, empty):
     rows = corpus()
     token = lambda t: [*WORD.findall((t or "").translate(LOWER)), 0]
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for i, t, _ in rows:
         if zlib.crc32(str(i).encode()) % 7 != 2:
-            one.update(token(t))
-            two.update(zip([1, *token(t)[:-1]], token(t), strict=True))
+            padded = [1, 1, *token(t)]
+            one.update(padded[2:])
+            two.update(zip(padded[1:], padded[2:]))
+            three.update(zip(padded, padded[1:], padded[2:]))
     n, v = sum(one.values()), len(one)
-    for r in lm.score(docs, block_bytes=600).collect():
-        t = token(dict((i, t) for i, t, _ in rows)[r.doc_id])
-        root = [(one[w] + 1) / (n + v + 1) for w in t]
-        state = [one[0] if p == 1 else one[p] for p in [1, *t[:-1]]]
-        walk = sum(math.log10((two[p, w] + 4 * q) / (s + 4)) for p, w, q, s in zip([1, *t[:-1]], t, root, state, strict=True))
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2, len(t), sum(one[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(map(math.log10, root))) and r.score == pytest.approx(walk)
+    state = Counter()  # histories, by what follows them
+    for gram, c in (two + three).items():
+        state[gram[:-1]] += c
+    for options in ({"block_bytes": 600}, {"block_bytes": 600, "messages": 1}):
+        for r in lm.score(docs, **options).collect():
+            t = token(dict((i, t) for i, t, _ in rows)[r.doc_id])
+            base = walk = 0.0
+            history = (1, 1)
+            for w in t:
+                root = (one[w] + 1) / (n + v + 1)
+                base += math.log10(root)
+                pair = (two[history[1], w] + 4 * root) / (state[history[1:]] + 4)
+                here = history
+                while here and not (three if len(here) == 2 else two)[(*here, w)]:  # the automaton, arc by arc
+                    walk += math.log10(4 / (state[here] + 4))
+                    here = here[1:]
+                walk += math.log10((three[(*here, w)] + 4 * pair) / (state[here] + 4) if len(here) == 2 else pair if here else root)
+                history = (history[1], w)
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2, len(t), sum(one[w] > 0 for w in t), n)
+            assert r.base_score == pytest.approx(base) and r.score == pytest.approx(walk)
     assert lm.score(empty).count() == 0
 
 
