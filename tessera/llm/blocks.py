@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,6 +114,11 @@ class Plan:
         self.fan = math.ceil(math.sqrt(ranges)) if blocks * ranges > most else 0
 
 
+def canonical(table: pa.Table) -> pa.Table:
+    """A block's rows by id and text: a shuffle gives them in any order, but the places of a round have to hold in the next."""
+    return table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+
+
 def _rows(number: str, values, **more) -> pa.Table:
     kinds = {"rng": pa.int32(), "block": pa.int64(), "grp": pa.int64(), "payload": pa.binary()}
     return pa.table({k: pa.array(v, kinds[k]) for k, v in {number: values, **more}.items()})
@@ -136,10 +142,10 @@ def exchange(blocks: DataFrame, plan: Plan, send: Callable, answer: Callable, pr
 
     sent_schema = "rng int, block long, payload binary"
     if previous is None:
-        sent = blocks.groupBy("block").applyInArrow(lambda table: rows(table["block"][0].as_py(), send(table, None)), sent_schema)
+        sent = blocks.groupBy("block").applyInArrow(lambda table: rows(table["block"][0].as_py(), send(canonical(table), None)), sent_schema)
     else:
         def resend(table: pa.Table, answers: pa.Table) -> pa.Table:
-            return rows(table["block"][0].as_py(), send(table, by_range(answers, fan))) if table.num_rows else rows(0, [])
+            return rows(table["block"][0].as_py(), send(canonical(table), by_range(answers, fan))) if table.num_rows else rows(0, [])
 
         sent = blocks.groupBy("block").cogroup(previous.groupBy("block")).applyInArrow(resend, sent_schema)
 
@@ -190,7 +196,7 @@ def finish(blocks: DataFrame, plan: Plan, answers: DataFrame, result: Callable,
     """result(text table, payloads by range) makes the rows of a block."""
 
     def apply(table: pa.Table, replies: pa.Table) -> pa.Table:
-        return result(table, by_range(replies, plan.fan))
+        return result(canonical(table), by_range(replies, plan.fan))
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, schema)
 

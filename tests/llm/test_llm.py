@@ -48,6 +48,8 @@ def test_block_packing():
     assert (blocks.unpack_values(blocks.pack_values(values), 3, 0)[0] == values).all()
     counts = np.array([0, 1, 2, 3, 254, 257, 258, 70000, 1], np.int64)
     assert (blocks.unpack_counts(blocks.pack_counts(counts), 9)[0] == counts).all()
+    table = pa.table({"doc_id": pa.array([3, 1, None, 1, 2], pa.int64()), "text": ["c", "b", "x", None, ""]})
+    assert blocks.canonical(table).equals(blocks.canonical(table.take([4, 2, 0, 3, 1])))
     assert blocks.unbundle(blocks.bundle([b"a", b"", b"bc"])) == [b"a", b"", b"bc"]
     rng = np.random.default_rng(3)
     for wide in (1 << 20, 1 << 63):
