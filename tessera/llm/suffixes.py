@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from . import blocks as bl
 from . import textbytes as tb
 
-LENGTH, GRAM, STRIDE = 100, 24, 50
+LENGTH, GRAM, STRIDE = 100, 40, 50
 BLOCK_BYTES = 2 << 20
-_PLACE_BITS = 24
+_PLACE_BITS = 15
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -63,7 +63,7 @@ class _Pieces:
     def __init__(self, table: pa.Table, length: int, gram: int):
         data, offsets = tb.column_bytes(table["text"])
         n = len(data)
-        hashes = tb.byte_window_hashes(data, np.arange(max(0, n - gram + 1)), gram)
+        hashes = tb.every_byte_window(data, gram)
         least = anchors_at(hashes, length - gram + 1)
         valid = np.zeros(max(0, n - length + 1), bool)
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -116,7 +116,9 @@ def _asked(table: pa.Table, answers: list[bytes], length: int):
         firsts.append(bl.unpack_values(a, len(value), at + len(value))[0])
     bounds = np.concatenate([[0], np.cumsum([len(f) for f in firsts])])
     value, first, size = np.concatenate(values), np.concatenate(firsts), np.concatenate(sizes)
-    name_a, name_b = (tb._ranges(tb._BYTE_VALUES[k][data], first, first + size + length - 1, 2 + k) for k in (0, 1))
+    raw = data.tobytes()
+    texts = [raw[a:b] for a, b in zip(first.tolist(), (first + size + length - 1).tolist(), strict=True)]
+    name_a, name_b = tb.names_of(texts).T
     doc = np.searchsorted(offsets, first, "right") - 1
     doc_id, place = doc_ids[doc], first - offsets[doc]
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -124,13 +126,11 @@ def _asked(table: pa.Table, answers: list[bytes], length: int):
         lead = order[np.flatnonzero(new := bl.groups(name_a[order], name_b[order]))][np.cumsum(new) - 1] if len(order) else order
         behind = (doc_id[order] != doc_id[lead]) | (place[order] != place[lead])
         mine, known = np.sort(order[~behind]), order[behind]
-        spans = size[mine] + length - 1
-        index = np.repeat(first[mine] - (np.cumsum(spans) - spans), spans) + np.arange(int(spans.sum()))
-        yield bl.pack_sorted(value[mine]) + size[mine].astype(np.uint8).tobytes() + bl.pack_values(doc_id[mine]) + bl.pack_values(place[mine]) + bl.pack_values(first[mine]) + bl.pack_places(first[known]) + size[known].astype(np.uint8).tobytes() + data[index].tobytes()
+        yield bl.pack_sorted(value[mine]) + size[mine].astype(np.uint8).tobytes() + bl.pack_values(doc_id[mine]) + bl.pack_values(place[mine]) + bl.pack_values(first[mine]) + bl.pack_places(first[known]) + size[known].astype(np.uint8).tobytes() + b"".join([texts[k] for k in mine.tolist()])
 
 
 def _unpack(buf: bytes, length: int):
-    """(value, size, ids, place, first, text) of the pieces asked about, and (first, size) of those known to be removed."""
+    """(value, size, ids, place, first, texts) of the pieces asked about, and (first, size) of those known to be removed."""
     value, at = bl.unpack_sorted(buf)
     n = len(value)
     size = np.frombuffer(buf, np.uint8, n, at).astype(np.int64)
@@ -140,7 +140,9 @@ def _unpack(buf: bytes, length: int):
     m = int.from_bytes(buf[at : at + 4], "little")
     known, at = bl.unpack_values(buf, m, at + 4)
     known_size = np.frombuffer(buf, np.uint8, m, at).astype(np.int64)
-    return value, size, ids, place, first, np.frombuffer(buf, np.uint8, int((size + length - 1).sum()), at + m), known, known_size
+    ends = at + m + np.cumsum(size + length - 1)
+    texts = [buf[a:b] for a, b in zip((ends - size - length + 1).tolist(), ends.tolist(), strict=True)]
+    return value, size, ids, place, first, texts, known, known_size
 
 
 def _ranks(symbols: np.ndarray) -> np.ndarray:
@@ -247,10 +249,10 @@ def _judge(payloads: list[bytes], length: int, stride: int) -> list[bytes]:
     one piece would begin at one place.  The others are merged, each block a shard.
     """
     parts = [_unpack(p, length) for p in payloads]
-    value, size, ids, place, first, data = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:6])
+    value, size, ids, place, first = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:5])
+    texts = [t for p in parts for t in p[5]]
     shard = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    begin = np.concatenate([[0], np.cumsum(size + length - 1)])
-    a, b = (tb._ranges(tb._BYTE_VALUES[k][data], begin[:-1], begin[1:], 2 + k) for k in (0, 1))
+    a, b = tb.names_of(texts).T
     order = np.lexsort((place, ids, b, a))
     new = bl.groups(a[order], b[order])
     head = order[np.flatnonzero(new)]
@@ -258,13 +260,12 @@ def _judge(payloads: list[bytes], length: int, stride: int) -> list[bytes]:
     lead[order] = head[np.cumsum(new) - 1] if len(order) else order
     behind = (ids != ids[lead]) | (place != place[lead])
     alone = np.sort(head)
-    _, texts_of, texts = np.unique(value[alone], return_inverse=True, return_counts=True)
-    merged = alone[texts[texts_of] > 1]
-    spans = (size + length - 1)[merged]
-    index = np.repeat(begin[:-1][merged] - (np.cumsum(spans) - spans), spans) + np.arange(int(spans.sum()))
+    _, anchor, several = np.unique(value[alone], return_inverse=True, return_counts=True)
+    merged = alone[several[anchor] > 1]
+    data = np.frombuffer(b"".join([texts[k] for k in merged.tolist()]), np.uint8)
     flat = np.cumsum(size) - size
     judged = np.zeros(int(size.sum()), bool)
-    judged[np.repeat(flat[merged] - (np.cumsum(size[merged]) - size[merged]), size[merged]) + np.arange(int(size[merged].sum()))] = repeated_strings(data[index], size[merged], ids[merged], place[merged], shard[merged], length, stride)
+    judged[np.repeat(flat[merged] - (np.cumsum(size[merged]) - size[merged]), size[merged]) + np.arange(int(size[merged].sum()))] = repeated_strings(data, size[merged], ids[merged], place[merged], shard[merged], length, stride)
     # a piece that is no head has its head's answers, and true everywhere if it lies behind it
     piece_of = np.repeat(np.arange(len(size)), size)
     within = np.arange(len(piece_of)) - flat[piece_of]

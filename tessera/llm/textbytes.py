@@ -6,8 +6,24 @@ space and 0x09-0x0D; these bytes are ASCII, so they never lie inside a longer UT
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
+import xxhash
+
+
+def _keep_freed_memory(most: int = 64 << 20) -> None:
+    """Let the C library hold some freed memory: arrays of some megabytes that come and go cost a page fault a page."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, most)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 2 * most)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library has its own ways
+        return
+
+
+_keep_freed_memory()
 
 #: The separators of words.
 SPACE = np.zeros(256, bool)
@@ -142,6 +158,23 @@ def byte_window_hashes(data: np.ndarray, starts: np.ndarray, length: int, which:
     return _ranges(_BYTE_VALUES[which][data], starts, starts + length, 2 + which)
 
 
+def every_byte_window(data: np.ndarray, length: int, which: int = 0, step: int = 1 << 15) -> np.ndarray:
+    """byte_window_hashes() of every start, by stretches that stay in the processor's cache."""
+    out = np.empty(max(0, len(data) - length + 1), np.uint64)
+    powers, inverse = (table[0] for table in _tables(2 + which))
+    for at in range(0, len(out), step):
+        n = min(step, len(out) - at)
+        total = np.zeros(n + length, np.uint64)
+        np.cumsum(_BYTE_VALUES[which][data[at : at + n + length - 1]] * powers[: n + length - 1], out=total[1:])
+        out[at : at + n] = mix64((total[length:] - total[:n]) * inverse[:n] + np.uint64(length))
+    return out
+
+
+def names_of(pieces: list[bytes]) -> np.ndarray:
+    """128 bits for each piece of text, as two columns."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), np.uint64).reshape(-1, 2)
+
+
 def window_starts(bounds: np.ndarray, length: int) -> np.ndarray:
     """Indexes at which a window of so many units starts and ends in one document."""
     n = int(bounds[-1]) if len(bounds) else 0
