@@ -14,7 +14,7 @@ are the groups.  Groups are transitive.
 
 Buckets are rows shuffled by key, so their number follows the input; a bucket returns a spanning forest of its
 links, one beyond CHUNK rows in pieces that meet pairwise in tasks of their own.  Proposed components beyond
-PIECE_SHINGLES are cut and meet in the same way.  With PAIRED segments to a key there are 4096**PAIRED buckets a table:
+PIECE_SHINGLES are dealt into pieces by hash and meet in the same way.  With PAIRED segments to a key there are 4096**PAIRED buckets a table:
 take 3 beyond some 10**8 texts, and more BITS and TABLES with it.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
@@ -311,9 +311,11 @@ def exact_forest(nodes: np.ndarray, prints: np.ndarray, hashes: np.ndarray, boun
 
 def accepted_links(docs: DataFrame, classes: DataFrame, proposed: DataFrame, shingle: int) -> DataFrame:
     """Links (src, dst) between nodes of one proposed component (node, component), by the exact similarity of their sets."""
-    before = Window.partitionBy("component").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    piece = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / PIECE_SHINGLES).cast("int")
-    members = materialise(proposed.join(classes.select("node", "doc_id", "name", "n", "print"), "node").withColumn("piece", piece), "members")
+    named = proposed.join(classes.select("node", "doc_id", "name", "n", "print"), "node")
+    pieces = proposed.join(classes.select("node", "n"), "node").groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / PIECE_SHINGLES)).alias("pieces"))
+    large = pieces.where("pieces > 1").withColumnRenamed("component", "_large")
+    dealt = F.coalesce(F.pmod(F.xxhash64("node"), F.col("pieces")), F.lit(0)).cast("int")
+    members = materialise(named.join(large, F.col("component") == F.col("_large"), "left").withColumn("piece", dealt).drop("_large", "pieces"), "members")
     texts = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = _sets(texts, shingle).join(members, "name").dropDuplicates(["node"])
     rows = sets.select(F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("component").alias("key"), "piece", "print", "shingles")
