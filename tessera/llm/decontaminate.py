@@ -38,6 +38,8 @@ _BREAK = tb.SPACE.copy()
 _BREAK[[c for c in range(128) if not chr(c).isalnum()]] = True
 #: Sampled positions in a key, and the share of positions that differ for a pair that is to be verified early.
 _SAMPLE, _FAR = 4, 0.35
+#: Cells of a matrix of words, and diagonals, that are held at once.
+_CELLS = 1 << 19
 
 
 def _words(column) -> tuple[np.ndarray, np.ndarray]:
@@ -105,19 +107,31 @@ class Matcher:
         self.slack = np.array([allowed(n, share) for n in self.lengths.tolist()], np.int64)
         self.tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - _FAR) ** _SAMPLE))
         self.draws = np.random.Generator(np.random.PCG64(seed)).random((self.tables, _SAMPLE))
-        places: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))  # by gram length: gram -> (item, offset)
+        places: dict[int, list] = defaultdict(list)  # by gram length: (grams, item, offsets)
         for k, words in enumerate(self.words):
             n, slack = len(words), int(self.slack[k])
             q = min(GRAM, math.ceil((n - slack) / (slack + 1)))
-            for offset, g in enumerate(tb.window_hashes(words, np.arange(n - q + 1), q).tolist()):
-                places[q][g].append((k, offset))
-        self.places = {q: dict(p) for q, p in places.items()}
-        self.grams = {q: np.sort(np.array(list(p), np.uint64)) for q, p in self.places.items()}
-        self.wide = int(self.lengths.max(initial=0))
-        matrix = np.zeros((len(items), self.wide), np.uint64)
-        for k, words in enumerate(self.words):
-            matrix[k, : len(words)] = words
-        self.keys = self._lsh(matrix, self.lengths, self.lengths)
+            found = tb.window_hashes(words, np.arange(n - q + 1), q)
+            places[q].append((found, np.full(len(found), k), np.arange(len(found))))
+        self.grams = {}  # by gram length: grams, and for each a range of (item, offset)
+        for q, parts in places.items():
+            gram, item, offset = (np.concatenate(side) for side in zip(*parts, strict=True))
+            order = np.argsort(gram, kind="stable")
+            head = np.flatnonzero(bl.groups(gram[order]))
+            self.grams[q] = gram[order][head], np.append(head, len(order)), item[order], offset[order]
+        self.keys = np.zeros((len(items), self.tables), np.uint64)
+        by_length = np.argsort(self.lengths, kind="stable")
+        at = 0
+        while at < len(items):  # items of like lengths, so that the matrix is of their words
+            to = at + 1
+            while to < len(items) and (to + 1 - at) * int(self.lengths[by_length[to]]) <= _CELLS:
+                to += 1
+            some = by_length[at:to]
+            matrix = np.zeros((len(some), int(self.lengths[some[-1]])), np.uint64)
+            for row, k in enumerate(some.tolist()):
+                matrix[row, : self.lengths[k]] = self.words[k]
+            self.keys[some] = self._lsh(matrix, self.lengths[some], self.lengths[some])
+            at = to
 
     def _lsh(self, windows: np.ndarray, have: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """A key for each window and table: sampled places of the first 2n steps, which read n words on average."""
@@ -134,22 +148,28 @@ class Matcher:
     def _candidates(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, first word) of the item-sized windows around shared grams."""
         found = [np.zeros((0, 3), np.int64)]
-        for q, grams in self.grams.items():
+        for q, (grams, bound, of_item, offsets) in self.grams.items():
             seen = np.zeros(1 << 20, bool)
             seen[grams >> np.uint64(44)] = True
             at = tb.window_starts(bounds, q)
             hashes = tb.window_hashes(words, at, q)
             hit = np.flatnonzero(seen[hashes >> np.uint64(44)])
-            hit = hit[grams[np.minimum(np.searchsorted(grams, hashes[hit]), len(grams) - 1)] == hashes[hit]]
-            rows = np.searchsorted(bounds, at[hit], "right") - 1
-            diagonals = [(row, item, place - offset) for row, place, gram in zip(rows.tolist(), at[hit].tolist(), hashes[hit].tolist(), strict=True) for item, offset in self.places[q][gram]]
-            if diagonals:
-                d = np.unique(np.array(diagonals, np.int64), axis=0)
+            place = np.minimum(np.searchsorted(grams, hashes[hit]), len(grams) - 1)
+            hit, place = hit[grams[place] == hashes[hit]], place[grams[place] == hashes[hit]]
+            many = bound[place + 1] - bound[place]
+            # a gram of many items is many diagonals: so many at a time
+            cuts = np.unique(np.searchsorted(np.cumsum(many), np.arange(0, int(many.sum()) + 1, _CELLS // 4))).tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], len(hit)], strict=True):
+                some = many[lo:hi]
+                entry = np.repeat(bound[place[lo:hi]] - (np.cumsum(some) - some), some) + np.arange(int(some.sum()))
+                start = np.repeat(at[hit[lo:hi]], some) - offsets[entry]
+                rows = np.repeat(np.searchsorted(bounds, at[hit[lo:hi]], "right") - 1, some)
+                d = np.unique(np.stack([rows, of_item[entry], start], axis=1), axis=0)
                 slack = self.slack[d[:, 1]]
                 d = np.repeat(d, 2 * slack + 1, axis=0)
                 shift = np.arange(len(d)) - np.repeat(np.cumsum(2 * slack + 1) - (2 * slack + 1), 2 * slack + 1) - np.repeat(slack, 2 * slack + 1)
                 d[:, 2] += shift
-                found.append(d[(d[:, 2] >= bounds[d[:, 0]]) & (d[:, 2] < bounds[d[:, 0] + 1])])
+                found.append(np.unique(d[(d[:, 2] >= bounds[d[:, 0]]) & (d[:, 2] < bounds[d[:, 0] + 1])], axis=0))
         every = np.unique(np.concatenate(found), axis=0)
         return every[:, 0], every[:, 1], every[:, 2]
 
@@ -167,12 +187,17 @@ class Matcher:
 
     def _collide(self, words: np.ndarray, items: np.ndarray, at: np.ndarray, have: np.ndarray) -> np.ndarray:
         """Which windows share a key with their item."""
-        out, step = np.zeros(len(items), bool), max(1, (1 << 20) // max(1, self.wide))
-        for k in range(0, len(items), step):
-            item, start, size = items[k : k + step], at[k : k + step], have[k : k + step]
-            index = start[:, None] + np.arange(self.wide)
-            matrix = np.where(np.arange(self.wide) < size[:, None], words[np.minimum(index, len(words) - 1)], np.uint64(0))
-            out[k : k + step] = (self._lsh(matrix, size, self.lengths[item]) == self.keys[item]).any(axis=1)
+        out = np.zeros(len(items), bool)
+        order = np.argsort(have, kind="stable")
+        k = 0
+        while k < len(items):
+            step = max(1, _CELLS // max(1, int(have[order[min(len(items) - 1, k + 255)]])))
+            some = order[k : k + min(step, 256)]
+            item, start, size = items[some], at[some], have[some]
+            wide = np.arange(int(size.max(initial=0)))
+            matrix = np.where(wide < size[:, None], words[np.minimum(start[:, None] + wide, len(words) - 1)], np.uint64(0))
+            out[some] = (self._lsh(matrix, size, self.lengths[item]) == self.keys[item]).any(axis=1)
+            k += len(some)
         return out
 
     def find(self, column) -> list[tuple[int, object, int, int]]:
@@ -211,9 +236,15 @@ def _matchers(benchmark: DataFrame, item_col: str, text_col: str, share: float)
     return out
 
 
-def _pieces(batch: pa.RecordBatch, size: int = 2048):
-    for k in range(0, batch.num_rows, size):
-        yield batch.slice(k, size)
+def _pieces(batch: pa.RecordBatch, text: str, rows: int = 512, most: int = 1 << 20):
+    """The batch in pieces of some rows and about a megabyte of text; a longer text is a piece of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
@@ -226,7 +257,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
         def scan(batches, matcher=matcher):
             for batch in batches:
-                for piece in _pieces(batch):
+                for piece in _pieces(batch, "text"):
                     found = matcher.find(piece.column("text"))
                     ids = piece.column("doc_id").to_pylist()
                     yield pa.record_batch({"doc_id": pa.array([ids[f[0]] for f in found], pa.int64()), "item_id": pa.array([f[1] for f in found], pa.int64()), "first_word": pa.array([f[2] for f in found], pa.int32()), "distance": pa.array([f[3] for f in found], pa.int32())})
@@ -242,7 +273,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
         def scan(batches, matcher=matcher):
             for batch in batches:
-                for piece in _pieces(batch):
+                for piece in _pieces(batch, text_col):
                     keep = np.ones(piece.num_rows, bool)
                     keep[[f[0] for f in matcher.find(piece.column(text_col))]] = False
                     yield piece.filter(pa.array(keep))
