@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 #: What is folded, dropped or looked for.
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
@@ -68,6 +69,42 @@ def clean_light(c: Column) -> Column:
     return F.nullif(collapse(out), F.lit(""))
 
 
+def light(x: str | None) -> str | None:
+    """clean_light() of one Python text, for elements of arrays."""
+    if x is None:
+        return None
+    x = unicodedata.normalize("NFC", html.unescape(re.sub("<[^>]+>", " ", x)))
+    for ligature, letters in LIGATURES.items():
+        x = x.replace(ligature, letters)
+    return " ".join(re.sub(CONTROLS, "", re.sub(SPACES, " ", x)).split()) or None
+
+
+@pandas_udf(ArrayType(StringType()))
+def clean_light_all(s: pd.Series) -> pd.Series:
+    """Each text of an array cleaned lightly; empty ones and dots that stand for more are left out."""
+    return s.map(lambda xs: [y for y in map(light, xs) if y and y not in ("...", "…")], na_action="ignore")
+
+
+@pandas_udf(ArrayType(StringType()))
+def light_cells(s: pd.Series) -> pd.Series:
+    """Each text of an array cleaned lightly, at its place."""
+    return s.map(lambda xs: [light(x) for x in xs], na_action="ignore")
+
+
+@pandas_udf(ArrayType(StringType()))
+def match_keys(s: pd.Series) -> pd.Series:
+    """The matching key of each text of an array, empty for none."""
+    fold = lambda x: unicodedata.normalize("NFKD", html.unescape(re.sub("<[^>]+>", " ", x or ""))).encode("ascii", "ignore").decode()
+    return s.map(lambda xs: [" ".join(re.findall("[a-z0-9]+", fold(x).lower())) for x in xs], na_action="ignore")
+
+
+def api_abstract(c: Column) -> Column:
+    """The abstract that a service gives, in its own case, without the label; null if it lists affiliations."""
+    clean = clean_light(strip_html(c))
+    bare = F.when(F.lower(clean).startswith("abstract"), F.nullif(F.ltrim(F.substring(clean, 9, 2**30), F.lit(" :.-–—")), F.lit(""))).otherwise(clean)
+    return F.when(~looks_like_affiliation(bare), bare)
+
+
 def clean_light_ascii(c: Column) -> Column:
     """clean_light() for text without entities and of composed characters, in built-ins alone."""
     return F.nullif(collapse(F.regexp_replace(F.regexp_replace(_tags_out(c), SPACES, " "), CONTROLS, "")), F.lit(""))

@@ -35,8 +35,16 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def doi_edges(records: DataFrame) -> DataFrame:
     """A star from the first record of each DOI."""
-    first = records.where("doi is not null").withColumn("src", F.min("rid").over(W.partitionBy("doi")))
-    return first.where("rid <> src").select("src", F.col("rid").alias("dst"))
+    named = records.where("doi is not null").select("rid", "doi")
+    first = named.groupBy("doi").agg(F.min("rid").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return named.join(first, "doi").where("rid <> src").select("src", F.col("rid").alias("dst"))
+
+
+def _points(records: DataFrame) -> DataFrame:
+    """The records with point, the least of those alike in title, year and DOI."""
+    least = records.groupBy(F.col("title_key").alias("_t"), F.col("year").alias("_y"), F.col("doi").alias("_d")).agg(F.min("rid").alias("point"))
+    alike = F.col("title_key").eqNullSafe(F.col("_t")) & F.col("year").eqNullSafe(F.col("_y")) & F.col("doi").eqNullSafe(F.col("_d"))
+    return records.join(least, alike).drop("_t", "_y", "_d")
 
 
 def title_edges(records: DataFrame) -> DataFrame:
@@ -45,7 +53,7 @@ def title_edges(records: DataFrame) -> DataFrame:
     Records alike in title, year and DOI are one point, so copies add a star and not all pairs.
     """
     kept = records.where(F.size(tokens(F.col("title_key"))) >= 3)
-    points = kept.withColumn("point", F.min("rid").over(W.partitionBy("title_key", "year", "doi")))
+    points = _points(kept.select("rid", "title_key", "year", "doi"))
     star = points.where("rid <> point").select(F.col("point").alias("src"), F.col("rid").alias("dst"))
     distinct = points.where("rid = point").select("rid", "title_key", "year", "doi")
     a, b = distinct.alias("a"), distinct.alias("b")
@@ -56,7 +64,8 @@ def title_edges(records: DataFrame) -> DataFrame:
 def fuzzy_edges(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Years at most one apart, four words or more, token Jaccard of 0.6, the same markers, ratio above the threshold."""
     base = records.where("year is not null").withColumn("tok", F.array_distinct(tokens(F.col("title_key")))).where(F.size("tok") >= 4).select("rid", "title_key", "year", "doi", "tok", markers(F.col("tok")).alias("marks"))
-    points = base.withColumn("point", F.min("rid").over(W.partitionBy("title_key", "year", "doi"))).where("rid = point").drop("point")
+    pointed = _points(base)
+    points = pointed.where("rid = point").drop("point")
     frequency = points.select(F.explode("tok").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     ranked = points.select("rid", F.size("tok").alias("n"), F.explode("tok").alias("t")).join(frequency, "t").withColumn("place", F.row_number().over(W.partitionBy("rid").orderBy("df", "t")))
     need = F.floor((F.lit(JACCARD_NUM) * F.col("n") + JACCARD_DEN - 1) / JACCARD_DEN)
@@ -71,7 +80,7 @@ def fuzzy_edges(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     la, lb = F.length("a.title_key"), F.length("b.title_key")
     cheap = full.where(~doi_conflict(F.col("a.doi"), F.col("b.doi")) & (F.col("a.marks") == F.col("b.marks")) & (F.size(F.array_intersect("a.tok", "b.tok")) * JACCARD_DEN >= F.size(F.array_union("a.tok", "b.tok")) * JACCARD_NUM) & (2 * F.least(la, lb) >= threshold * (la + lb)))
     found = cheap.withColumn("ratio", sequence_ratio(F.col("a.title_key"), F.col("b.title_key"))).where(F.col("ratio") >= threshold).select("src", "dst")
-    same = base.withColumn("src", F.min("rid").over(W.partitionBy("title_key", "year", "doi"))).where("rid <> src").select("src", F.col("rid").alias("dst"))
+    same = pointed.where("rid <> point").select(F.col("point").alias("src"), F.col("rid").alias("dst"))
     return found.unionByName(same)
 
 
@@ -86,21 +95,30 @@ def group_records(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
 
 def survivors(grouped: DataFrame, fields: list[str], rank: list[Column]) -> DataFrame:
-    """One row for each group: each field from the best-ranked record that has it."""
-    w = W.partitionBy("root").orderBy(*rank, F.col("rid")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    filled = grouped.select("root", "rid", *[F.first(f, ignorenulls=True).over(w).alias(f) for f in fields])
-    return filled.groupBy("root").agg(*[F.any_value(f).alias(f) for f in fields], F.count(F.lit(1)).alias("n_source_records"), F.array_sort(F.collect_list("rid")).alias("rids"))
+    """One row for each group: each field from the record of least rank that has it, by partial aggregates."""
+    order = F.struct(*[r.alias(f"r{k}") for k, r in enumerate(rank)], F.col("rid"))
+    return grouped.groupBy("root").agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), order)).alias(f) for f in fields], F.count(F.lit(1)).alias("n_source_records"), F.array_sort(F.collect_list("rid")).alias("rids"))
+
+
+#: Letters of a title that make its ranges, each within the one before.
+LEVELS = (2, 8, 24)
 
 
 def number_articles(merged: DataFrame) -> DataFrame:
     """article_id by rank of (title, year or 0), ties by least record.
 
-    Ranks come from sums over ranges of titles, so no task sorts all articles.
+    Ranks are sums over ranges of titles by their first letters, ranges within ranges, so no task sorts all articles.
     """
-    keyed = merged.withColumn("_range", F.left("title_key", F.lit(2)))
-    sizes = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(W.partitionBy("_range").orderBy("title_key", F.coalesce("year", F.lit(0)), "root"))
-    return keyed.join(sizes, "_range").withColumn("article_id", F.format_string("art_%05d", place + F.col("_before"))).drop("_range", "_n", "_before")
+    out, outer, before = merged, [], F.lit(0)
+    for n in LEVELS:
+        name = f"_range{n}"
+        out = out.withColumn(name, F.left("title_key", F.lit(n)))
+        sizes = out.groupBy(*outer, name).agg(F.count(F.lit(1)).alias("_n"))
+        ahead = F.sum("_n").over(W.partitionBy(*outer).orderBy(name).rowsBetween(W.unboundedPreceding, -1))
+        out = out.join(sizes.select(F.col(name).alias("_r"), F.coalesce(ahead, F.lit(0)).alias(f"_before{n}")), F.col(name) == F.col("_r")).drop("_r")
+        outer, before = [name], before + F.col(f"_before{n}")
+    place = F.row_number().over(W.partitionBy(name).orderBy("title_key", F.coalesce("year", F.lit(0)), "root"))
+    return out.withColumn("article_id", F.format_string("art_%05d", place + before)).drop(*[f"_{x}{n}" for n in LEVELS for x in ("range", "before")])
 
 
 def owner_links(merged: DataFrame, raw_ids: str = "raw_ids") -> DataFrame:

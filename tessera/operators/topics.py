@@ -17,8 +17,10 @@ SEED = 42
 
 
 def two_dimensions(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Columns x and y by principal components."""
-    v = df.withColumn("_f", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    """Columns x and y by principal components of the unit vectors; three rows at least."""
+    if df.where(F.col(vector).isNotNull()).limit(3).count() < 3:
+        raise ValueError("a map needs three rows at least")
+    v = df.withColumn("_f", array_to_vector(unit(F.col(vector))))
     out = PCA(k=2, inputCol="_f", outputCol="_xy").fit(v).transform(v).withColumn("_xy", vector_to_array("_xy"))
     return out.withColumn("x", F.col("_xy")[0]).withColumn("y", F.col("_xy")[1]).drop("_f", "_xy")
 
@@ -32,7 +34,7 @@ def clusters(df: DataFrame, k: int | None = None, k_range: tuple[int, ...] = (2,
     fit = lambda data, n, seed: KMeans(k=n, seed=seed, featuresCol="_f", predictionCol="cluster").fit(data)
     if k is None:
         rows = v.count()
-        part = v.where(F.pmod(F.xxhash64(*[c for c in df.columns if c != vector]), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(rows, 1))))
+        part = v.where(F.shiftrightunsigned(F.xxhash64(*[c for c in df.columns if c != vector]), 1) <= int(2**63 * min(1.0, sample / max(rows, 1)) - 1))
         judge = ClusteringEvaluator(featuresCol="_f", predictionCol="cluster", distanceMeasure="cosine")
         k = max(k_range, key=lambda n: judge.evaluate(fit(part, n, SEED).transform(part)))
     best = min((fit(v, k, SEED + i) for i in range(restarts)), key=lambda m: m.summary.trainingCost)
@@ -62,3 +64,42 @@ def central_rows(df: DataFrame, key: str, cluster: str, vector: str = "embedding
     centre = parts.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("_c"))
     scored = units.join(centre, cluster).select(key, cluster, dot(F.col("_u"), unit(F.col("_c"))).alias("score"))
     return top_per_group(scored, [cluster], [F.col("score").desc(), F.col(key)], top)
+
+
+def described(df: DataFrame, key: str, title: str, text: str, cluster: str, stop: list[str], vector: str = "embedding", terms: int = 6, titles: int = 3, least_docs: int | None = None) -> DataFrame:
+    """(cluster, size, top_terms, titles, label) of each cluster: its terms, its most central titles, its first three terms as label.
+
+    A term is in two texts at least where there are more than 30.
+    """
+    if least_docs is None:
+        least_docs = 2 if df.limit(31).count() > 30 else 1
+    sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
+    said = cluster_terms(df, key, text, cluster, stop, terms, least_docs).groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_t"))
+    central = central_rows(df, key, cluster, vector, titles).join(df.select(key, F.col(title).alias("_title")), key).groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("rank", "_title"))).alias("_c"))
+    words = F.coalesce(F.col("_t.term"), F.array().cast("array<string>"))
+    named = F.when(F.size(words) > 0, F.array_join(F.slice(words, 1, 3), ", ")).otherwise("(no term)")
+    full = sizes.join(said, cluster, "left").join(central, cluster, "left")
+    return full.select(cluster, "size", F.array_join(words, ", ").alias("top_terms"), F.array_join("_c._title", " || ").alias("titles"), F.concat(F.lit("C"), F.col(cluster).cast("string"), F.lit(" · "), named).alias("label"))
+
+
+def semantic_map(articles: DataFrame, links: DataFrame, people: DataFrame, stop: list[str], k: int | None = None, vector: str = "embedding", restarts: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(points, clusters): every article with x, y, cluster, its label, its people and the lab of the first that has one.
+
+    articles: article_id, titre, annee, embedding_text and the vector; an article without a vector is an error.  links:
+    chercheur_id, article_id, position; people: chercheur_id, nom_complet, laboratoire.
+    """
+    missing = articles.where(F.col(vector).isNull()).limit(1).count()
+    if missing:
+        raise ValueError("an article has no vector")
+    placed = clusters(two_dimensions(articles, vector), k, vector=vector, restarts=restarts)
+    told = described(placed.withColumn("_text", F.coalesce("embedding_text", "titre")), "article_id", "titre", "_text", "cluster", stop, vector)
+    return map_points(placed, told, links, people), told
+
+
+def map_points(placed: DataFrame, told: DataFrame, links: DataFrame, people: DataFrame, missing: str = "(non renseigné)") -> DataFrame:
+    """Rows for a chart of the map, which is all that a chart needs."""
+    known = links.join(people.select("chercheur_id", "nom_complet", "laboratoire"), "chercheur_id")
+    lab = F.split("laboratoire", r" \| ")[0]
+    each = known.groupBy("article_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "nom_complet"))), lambda s: s["nom_complet"]), "; ").alias("chercheurs"), F.min_by(lab, F.when(F.col("laboratoire").isNotNull(), F.col("position"))).alias("laboratoire"))
+    full = placed.join(told.select("cluster", F.col("label").alias("cluster_label")), "cluster").join(each, "article_id", "left")
+    return full.select("article_id", "titre", "annee", "x", "y", "cluster", "cluster_label", F.coalesce("chercheurs", F.lit("")).alias("chercheurs"), F.coalesce("laboratoire", F.lit(missing)).alias("laboratoire"))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .relational import top_per_group
 
@@ -29,16 +36,55 @@ def faults(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(id_col).alias("n_ids"), F.min(F.size(vector)).cast("long").alias("least_dim"), F.max(F.size(vector)).cast("long").alias("most_dim"), F.count_if(F.coalesce(bad, F.lit(True))).alias("n_bad"))
 
 
+#: Bytes of query vectors that a task holds at once; more queries are more passes over the index.
+SLICE_BYTES = 32 << 20
+
+
+def _matrix(column, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) if len(column) else np.zeros((0, dim))
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+
+
 def search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query") -> DataFrame:
     """The k rows of greatest cosine for each query, ties to the smaller id.  k under 1 counts as 1.
 
-    Queries are few: they are collected in one row and broadcast, after a check of their number.
+    A slice of the queries meets each batch of the index in one matrix product, and the batch keeps k rows a query; the
+    slices, passes over the index, are of at most SLICE_BYTES.  Null vectors take no part; vectors of another length are an error.
     """
-    if queries.count() > 10_000:
-        raise ValueError("over 10,000 queries: search them in parts")
-    asked = F.broadcast(queries.agg(F.collect_list(F.struct(F.col(query_id), unit(F.col(query_vector)).alias("_q"))).alias("_queries")))
-    scored = index.select(id_col, unit(F.col(vector)).alias("_v")).join(asked).select(id_col, "_v", F.explode("_queries").alias("_e")).select(F.col(f"_e.{query_id}").alias(query_id), id_col, dot(F.col("_v"), F.col("_e._q")).alias("score"))
-    return top_per_group(scored, [query_id], [F.col("score").desc(), F.col(id_col)], max(1, k))
+    k = max(1, k)
+    asked = queries.where(F.col(query_vector).isNotNull()).select(query_id, F.transform(query_vector, lambda x: x.cast("double")).alias("q"))
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("q")), F.lit(0)).alias("d"), F.coalesce(F.min(F.size("q")), F.lit(0)).alias("least")).first()
+    if size.d != size.least:
+        raise ValueError(f"the queries have {size.least} to {size.d} dimensions")
+    slices = max(1, math.ceil(8 * size.n * size.d / SLICE_BYTES))
+    rows = index.where(F.col(vector).isNotNull()).select(id_col, F.col(vector).alias("v"))
+    kind, id_kind = index.schema[id_col].dataType, asked.schema[query_id].dataType
+    kind_of = to_arrow_type(id_kind)
+    schema = StructType([StructField(query_id, id_kind), StructField(id_col, kind), StructField("score", DoubleType())])
+    out = None
+    for part in range(slices):
+        mine = asked if slices == 1 else asked.where(F.pmod(F.xxhash64(query_id), F.lit(slices)) == part)
+        held = sorted(((r[0], r[1]) for r in mine.collect()), key=lambda r: str(r[0]))  # of at most about SLICE_BYTES
+        names, units = [r[0] for r in held], _units(np.array([r[1] for r in held], np.float64).reshape(len(held), size.d))
+
+        def near(batches, names=names, units=units):
+            for batch in batches:
+                if not batch.num_rows or not names:
+                    continue
+                ids, v = batch.column(0), batch.column(1)
+                if pc.min(pc.list_value_length(v)).as_py() != units.shape[1] or pc.max(pc.list_value_length(v)).as_py() != units.shape[1]:
+                    raise ValueError(f"the queries have {units.shape[1]} dimensions, the index others")
+                by_id = np.asarray(pc.sort_indices(ids))
+                score = units @ _units(_matrix(v, units.shape[1])[by_id]).T
+                place = np.argsort(-np.round(score, 12), axis=1, kind="stable")[:, :k]
+                yield pa.record_batch([pa.array([n for n in names for _ in range(place.shape[1])], kind_of), ids.take(pa.array(by_id[place.ravel()])), pa.array(np.take_along_axis(score, place, axis=1).ravel())], [query_id, id_col, "score"])
+
+        found = rows.mapInArrow(near, schema)
+        out = found if out is None else out.unionByName(found)
+    return top_per_group(out, [query_id], [F.round("score", 12).desc(), F.col(id_col)], k)
 
 
 def rank_owners(hits: DataFrame, links: DataFrame, item: str, owner: str, m: int = 3, group: str = "query_id") -> DataFrame:
@@ -46,3 +92,15 @@ def rank_owners(hits: DataFrame, links: DataFrame, item: str, owner: str, m: int
     per = hits.join(links.select(item, owner).distinct(), item)
     ranked = per.withColumn("_r", F.row_number().over(W.partitionBy(group, owner).orderBy(F.col("score").desc(), F.col(item))))
     return ranked.groupBy(group, owner).agg((F.sum(F.when(F.col("_r") <= m, F.col("score")).otherwise(0.0)) / m).alias("owner_score"), F.max("score").alias("best"), F.count(F.lit(1)).alias("n_matching"))
+
+
+def similarity_histogram(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", sample: int = 200, bins: int = 20) -> DataFrame:
+    """(bin, n): cosines of the pairs among the `sample` rows of least id hash, in equal bins of [-1, 1].
+
+    The sample is the operator's own, a look at a large table; with as many rows as the table has, all pairs count.
+    """
+    taken = df.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample).select(id_col, unit(F.col(vector)).alias("u"))
+    a, b = taken.alias("a"), taken.alias("b")
+    cosine = dot(F.col("a.u"), F.col("b.u"))
+    bin_of = F.least(F.lit(bins), F.floor((F.round(cosine, 9) + 1) * bins / 2).cast("int") + 1)
+    return a.join(b, F.col(f"a.{id_col}") < F.col(f"b.{id_col}")).groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from tessera import catalog
+from tessera import catalog, catalog_records  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
