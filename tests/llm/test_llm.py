@@ -388,6 +388,20 @@ def test_pii(spark, empty):
     assert pii.digest(empty).count() == 0
 
 
+def test_context_decides(spark):
+    texts = ["my SSN is 123-45-6789", "part 123-45-6789 of the list", "social security: 000-45-6789 and 123-00-6789", "write to a.b@c.de", "a.b@c.de", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.spans, r.scores) for r in pii.digest(df).collect()}
+    assert got == {0: ("ssn:10:21", "0.70"), 1: ("", ""), 2: ("", ""), 3: ("email:9:17", "1.00"), 4: ("email:0:8", "0.70"), 5: ("", "")}
+
+
+def test_hiding_keeps_every_column(spark):
+    df = spark.createDataFrame([("a@b.cd", 1, "s", "b", "r", "n"), (None, 2, "s", "b", "r", "n")], "text string, doc_id long, spans string, _body string, _row string, none string")
+    got = pii.redact(df.unionByName(df))
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted([("[EMAIL]", 1, "s", "b", "r", "n"), (None, 2, "s", "b", "r", "n")] * 2, key=str)
+    assert pii.find(df).columns == ["text", "doc_id", "_body", "_row", "none", "spans"]
+
+
 def test_iban_before_capitals_and_digits(spark):
     texts = ["IBAN DE89370400440532013000 BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00 Please", "DE89 3704 0044 0532 0130 00 2024", "GB82WEST12345698765432 FR14 2004 1010 0505 0001 3M02 606 X", "NO9386011117947, DE89370400440532013001"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
