@@ -8,6 +8,7 @@ empty line, list items marked and indented, table cells padded to columns, prefo
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -37,7 +38,11 @@ IMPLIED = {
 }
 #: Start tags that leave an open head open; any other, and text, ends it.
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?", re.S)
+_TOKEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?", re.S)
+#: Elements that an open paragraph is not seen through.
+P_SCOPE = frozenset(["td", "th", "table", "li", "dd", "button", "object"])
+#: Cells are padded to the longest one of their column, of those up to so many characters.
+WIDE = 80
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WHITE = re.compile(r"[ \t\r\n\f]+")
@@ -51,14 +56,29 @@ class Node:
 
 
 def build(html: str) -> Node:
-    """The tree of a page.  Unmatched end tags are dropped, open elements end where their parent ends."""
+    """The tree of a page.  Unmatched end tags are dropped, open elements end where their parent ends.
+
+    Of each open element is known which open paragraph it sees, and of each tag how many are open, so a tag that closes
+    nothing costs no walk up the path.
+    """
     root = Node("#root")
-    path = [root]
+    path, paragraph, opened = [root], [0], Counter()
     at, size = 0, len(html)
 
+    def push(node: Node) -> None:
+        path[-1].children.append(node)
+        paragraph.append(len(path) if node.tag == "p" else 0 if node.tag in P_SCOPE else paragraph[-1])
+        path.append(node)
+        opened[node.tag] += 1
+
+    def cut(k: int) -> None:
+        for node in path[k:]:
+            opened[node.tag] -= 1
+        del path[k:], paragraph[k:]
+
     def end_head() -> None:
         if path[-1].tag == "head":
-            path.pop()
+            cut(len(path) - 1)
 
     def text(piece: str) -> None:
         if piece.strip(" \t\r\n\f"):
@@ -67,13 +87,17 @@ def build(html: str) -> Node:
             path[-1].children.append(piece)
 
     def close(tags: frozenset, limits: frozenset) -> None:
-        for k in range(len(path) - 1, 0, -1):
-            if path[k].tag in tags:
-                del path[k:]
-                return close(tags, limits) if len(tags) > 1 else None
-            if path[k].tag in limits:
-                return None
-        return None
+        """End the open elements of these tags, as far as the first of the limits."""
+        again = any(opened[t] for t in tags)
+        while again:
+            again = False
+            for k in range(len(path) - 1, 0, -1):
+                if path[k].tag in tags:
+                    cut(k)
+                    again = any(opened[t] for t in tags)
+                    break
+                if path[k].tag in limits:
+                    break
 
     while at < size:
         lt = html.find("<", at)
@@ -81,52 +105,53 @@ def build(html: str) -> Node:
             text(unescape(html[at:]))
             break
         text(unescape(html[at:lt]))
+        if html.startswith(("<!", "<?"), lt):
+            mark = "-->" if html.startswith("<!--", lt) else ">"
+            end = html.find(mark, lt + 2)
+            at = end + len(mark) if end >= 0 else size
+            continue
         m = _TOKEN.match(html, lt)
-        if not m or (not m.group(2) and not html.startswith(("<!", "<?"), lt)):
+        if not m:
             text("<")
             at = lt + 1
             continue
         at = m.end()
-        if not m.group(2):
-            continue
         tag = m.group(2).lower()
         if m.group(1):
             if tag == "br":
                 end_head()
                 path[-1].children.append(Node("br"))
-            elif tag == "p" and not any(n.tag == "p" for n in path):
+            elif tag == "p" and not opened["p"]:
                 path[-1].children.append(Node("p"))
-            else:
+            elif opened[tag]:
                 for k in range(len(path) - 1, 0, -1):
                     if path[k].tag == tag:
-                        del path[k:]
+                        cut(k)
                         break
                     if path[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                         break
             continue
         if tag not in IN_HEAD:
             end_head()
-        if tag in CLOSES_P:
-            close(frozenset(["p"]), frozenset(["td", "th", "table", "li", "dd", "button", "object"]))
+        if tag in CLOSES_P and paragraph[-1]:
+            cut(paragraph[-1])
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         if tag in ("td", "th") and path[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            row = Node("tr")
-            path[-1].children.append(row)
-            path.append(row)
+            push(Node("tr"))
         node = Node(tag, m.group(3) or "")
-        path[-1].children.append(node)
         if tag in VOID:
-            continue
-        if tag in RAW:
+            path[-1].children.append(node)
+        elif tag in RAW:
+            path[-1].children.append(node)
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(html, at)
             stop = end.start() if end else size
             body = html[at:stop]
             node.children.append(unescape(body) if tag in ("textarea", "title") else body)
             gt = html.find(">", stop) if end else -1
             at = gt + 1 if gt >= 0 else size
-            continue
-        path.append(node)
+        else:
+            push(node)
     return root
 
 
@@ -202,12 +227,13 @@ class _Writer:
 
 
 def _aligned(rows: list[list[str]]) -> list[str]:
+    """Rows with their cells in columns; a cell of more than WIDE characters is whole, and pads no other."""
     widths: list[int] = []
     for row in rows:
         for j, cell in enumerate(row):
             if j == len(widths):
                 widths.append(0)
-            widths[j] = max(widths[j], len(cell))
+            widths[j] = max(widths[j], len(cell) if len(cell) <= WIDE else 0)
     return [" | ".join(cell.ljust(widths[j]) for j, cell in enumerate(row)).rstrip() for row in rows]
 
 

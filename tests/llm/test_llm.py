@@ -115,6 +115,14 @@ def test_neighbours_are_exact(spark):
     assert got == want
 
 
+def test_neighbours_of_repeated_ids_and_huge_components(spark):
+    rows = [(100, [3.0, 0.0], "a"), (100, [1.0, 0.0], "b"), (1, [1.0, 1.0], "c"), (2, [2.0, 0.0], "d"), (200, [1e150, 0.0], "e"), (3, [1e150, 1e140], "f"), (300, [1e200, 0.0], "g")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in neighbours.nearest(df).collect()}
+    assert got[100, 1] == (1, 1.0) and got[100, 2] == (2, 1.0) and got[200, 1] == (3, 1e140) and got[200, 2] == (1, 1e150) and got[300, 1] == (1, float("inf")) and (300, 6) in got
+    assert neighbours.nearest(df.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -283,6 +291,18 @@ def test_html():
     assert html.render("<script>var x = '<p>no</p>';</script>yes<style>p{}") == "yes"
 
 
+def test_html_costs_grow_with_the_page():
+    import time
+
+    began = time.process_time()
+    assert html.render("<div>" * 60000 + "x") == "x" and html.render("<p><table><td>" + "<div>" * 30000 + "y").endswith("y")
+    assert html.render("a" + "<!x" * 60000) == "a" and html.render("<b>" * 30000 + "</i>" * 30000 + "z") == "z"
+    assert time.process_time() - began < 30
+    wide = "<table>" + f"<tr><td>{'w' * 5000}<td>n" + "<tr><td>a<td>b" * 2000 + "<tr><td>long<td>c</table>"
+    out = html.render(wide)
+    assert len(out) < 60_000 and "w" * 5000 + " | n" in out and "a    | b" in out
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>a"), (2, None, None), (1, "u", "<p>a")], "page_id long, url string, html string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html.extract(df).where("text is not null").collect()) == [(1, "a", 1), (1, "a", 1)]
