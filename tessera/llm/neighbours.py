@@ -47,6 +47,11 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def exact_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of row pairs, squares added from the first component to the last."""
     total = np.zeros(len(a))
+    with np.errstate(over="ignore"):
+        return _root_of_squares(a, b, total)
+
+
+def _root_of_squares(a: np.ndarray, b: np.ndarray, total: np.ndarray) -> np.ndarray:
     for j in range(a.shape[1]):
         d = a[:, j] - b[:, j]
         total += d * d
@@ -55,8 +60,11 @@ def exact_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def tile(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, y: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """The k nearest rows of x for each row of y, rows of the query's own id aside."""
-    q, scale, error = quantise(x)
-    qy, scale_y, error_y = quantise(y)
+    # bounds are taken in units of the largest component, so that squares neither overflow nor vanish
+    largest = max(np.abs(x).max(initial=0), np.abs(y).max(initial=0))
+    unit = 2.0 ** math.floor(math.log2(largest)) if largest > 0 else 1.0
+    q, scale, error = quantise(x / unit)
+    qy, scale_y, error_y = quantise(y / unit)
     kind = np.float32 if x.shape[1] <= 1000 else np.float64  # sums of products of int8 are exact in both
     q, qy = q.astype(kind), qy.astype(kind)
     norm, norm_y = (scale**2) * (q.astype(np.float64) ** 2).sum(1), (scale_y**2) * (qy.astype(np.float64) ** 2).sum(1)
@@ -83,7 +91,8 @@ def tile(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, y: np.ndarray, k
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: for each usable vector whose id is divisible by `every`, its k nearest others.
 
-    Vectors of other lengths than the query's are no candidates.  Rows that share the query's id are its own.
+    Vectors of other lengths than the query's are no candidates.  Rows that share the query's id are its own; the least
+    of their vectors asks.  A distance too large for a double is infinite.
     Ties go to the smaller id; fewer candidates give fewer rows; rows without an id take no part.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v"))).withColumn("dim", F.size("v"))
@@ -92,7 +101,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     slices, blocks = max(1, math.ceil(n["n"] / SLICE)), max(1, math.ceil(n["q"] / BLOCK))
     deal = lambda count, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(count)).cast("int")
     data = rows.withColumn("slice", deal(slices, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = rows.where(is_query).dropDuplicates(["vec_id"]).withColumn("block", deal(blocks, 2)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")).withColumn("block", deal(blocks, 2)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
