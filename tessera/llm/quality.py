@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,13 +215,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             for data, offsets in _pieces(batch.column("text")):
                 v = votes(*measures(data, offsets))
                 x = features(data, offsets, v)[:, :_DIM].astype(np.float16)
-                yield pa.record_batch({"code": pa.array(_code(v), pa.int32()), "x": pa.array([r.tobytes() for r in x], pa.binary())})
+                codes, rows = _code(v), [r.tobytes() for r in x]
+                yield pa.record_batch({"code": pa.array(codes, pa.int32()), "x": pa.array(rows, pa.binary()), "key": pa.array([xxhash.xxh64_intdigest(r, 3) >> 1 for r in rows], pa.int64())})
 
     seen = sorted(tuple(r) for r in docs.select(text).mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n")).collect())
     patterns, counts = _decode(np.array([s[0] for s in seen], np.int64)), np.array([s[1] for s in seen], float)
     post, table, prior = expectation_maximisation(patterns, counts)
     known = {s[0]: p for s, p in zip(seen, post.tolist(), strict=True)}
-    drawn = sorted((tuple(r) for r in docs.where(pick).select(text).mapInArrow(take, "code int, x binary").limit(sample).collect()), key=lambda r: (r[0], r[1]))
+    drawn = sorted((tuple(r) for r in docs.where(pick).select(text).mapInArrow(take, "code int, x binary, key long").orderBy("key", "code").limit(sample).drop("key").collect()), key=lambda r: (r[0], r[1]))
     if not drawn:
         return Model(table, prior, None)
     codes = np.array([d[0] for d in drawn], np.int64)
@@ -236,7 +238,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """(doc_id, weak_posterior, score, keep) for every document; keep is score >= 0.5.
 
-    A null or wordless text gets no votes and the score of its empty features.  An empty table gives no rows.
+    A null or wordless text gets no votes and the score of its empty features.  An empty table gives no rows.  Rows of equal
+    text get equal scores, whatever their ids; should more than `sample` rows be drawn (rows of one id are drawn
+    together), those of least feature hash are fitted.
     """
     model = train(docs, id_col, text_col, sample)
 
