@@ -60,3 +60,51 @@ def embed(df: DataFrame, text: str, model: str, encode: Callable[[list[str]], np
     fresh = misses.mapInPandas(run, "key string, embedding array<float>")
     known = fresh if cache is None else fresh.unionByName(cache.select("key", "embedding"))
     return keyed.join(known, "key", "left"), fresh
+
+
+def embeddable(articles: DataFrame, limit: int | None = None, key: str = "article_id") -> DataFrame:
+    """Articles that have a text to embed; the first by key where a limit is set."""
+    found = articles.where(F.col("embedding_text").isNotNull() & (F.col("embedding_source") != "none"))
+    return found if limit is None else found.orderBy(key).limit(limit)
+
+
+def checked(encode: Callable[[list[str]], object], dim: int | None = None, model: str | None = None, expected: str | None = None, retries: int = 3, sleep: Callable[[float], None] | None = None) -> Callable[[list[str]], np.ndarray]:
+    """An encoder whose answers are a finite matrix, one row for each text, `dim` wide; transient faults are replayed.
+
+    model, the transport's, has to be the one expected: vectors of two models are not to be compared.
+    """
+    import time
+
+    from tessera.sources.calls import Unreadable, replayed
+
+    if expected is not None and model != expected:
+        raise ValueError(f"model {model}, not {expected}")
+
+    def once(texts: list[str]) -> np.ndarray:
+        out = np.asarray(encode(texts), np.float32)
+        if out.ndim != 2 or len(out) != len(texts) or (dim is not None and out.shape[1] != dim) or not np.isfinite(out).all():
+            raise Unreadable(f"{len(texts)} texts gave an array of {out.shape}, or components that are not finite")
+        return out
+
+    return replayed(once, retries, sleep=sleep or time.sleep)
+
+
+MOST_ATTACHED = 3_000_000
+
+
+def attach(nested: DataFrame, vectors: DataFrame, policy: str = "auto", items: str = "articles", item: str = "article_id", vector: str = "embedding") -> DataFrame:
+    """Nested rows whose items get their vector, rounded to 5 places, or null.
+
+    policy: true, false, or auto, which attaches as long as items times dimensions are at most MOST_ATTACHED.
+    """
+    key = nested.columns[0]
+    if policy == "auto":
+        entries = nested.agg(F.coalesce(F.sum(F.size(items)), F.lit(0))).first()[0]
+        width = vectors.agg(F.coalesce(F.max(F.size(vector)), F.lit(0))).first()[0]
+        policy = "true" if entries * width <= MOST_ATTACHED else "false"
+    each = nested.select(F.col(key).alias("_k"), F.posexplode_outer(items).alias("_p", "_i"))
+    rounded = vectors.select(F.col(item).alias("_v"), F.transform(vector, lambda x: F.round(x.cast("double"), 5)).alias("_e"))
+    told = each.join(rounded, F.col(f"_i.{item}") == F.col("_v"), "left") if policy == "true" else each.withColumn("_e", F.lit(None).cast("array<double>"))
+    again = told.where("_p IS NOT NULL").groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_p", F.struct("_i.*", F.col("_e").alias(vector)).alias("x")))).alias("_x"))
+    empty = F.array().cast(again.select(F.transform("_x", lambda s: s["x"]).alias("y")).schema["y"].dataType)
+    return nested.join(again, F.col(key) == F.col("_k"), "left").withColumn(items, F.coalesce(F.transform("_x", lambda s: s["x"]), empty)).drop("_k", "_x")

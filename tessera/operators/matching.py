@@ -140,6 +140,19 @@ def first_sighting(candidates: DataFrame, person: str, candidate: str, template_
     return candidates.withColumn("_r", F.row_number().over(W.partitionBy(person, candidate).orderBy(template_rank))).where("_r = 1").drop("_r")
 
 
+def decide_by_templates(candidates: DataFrame, person: str, templates: int, rank: str = "template_rank", candidate: str = "candidate_id") -> DataFrame:
+    """decide() over the pools of several queries, asked in order (rank from 1): a person's pool grows query by query, and
+    the first that gives a match or several candidates decides; else the last one does."""
+    pool = first_sighting(candidates, person, candidate, rank)
+    out = None
+    for n in range(1, templates + 1):
+        told = decide(pool.where(F.col(rank) <= n), person, candidate=candidate).withColumn("asked", F.lit(n))
+        out = told if out is None else out.unionByName(told)
+    settled = F.col("status").isin("matched", "ambiguous")
+    order = W.partitionBy(person).orderBy((~settled).cast("int"), F.when(settled, F.col("asked")).otherwise(-F.col("asked")))
+    return out.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
 def with_override(decisions: DataFrame, overrides: DataFrame, person: str, candidate: str = "candidate_id") -> DataFrame:
     forced = overrides.select(person, F.col(candidate).alias("_forced"))
     joined = decisions.join(forced, person, "left")

@@ -176,3 +176,20 @@ def researchers(members: DataFrame, states: DataFrame, known_ids: DataFrame, ins
     source = F.when(F.coalesce("_n", F.lit(0)) > 0, F.coalesce("data_source", F.lit("google_scholar"))).otherwise("none")
     columns = {"scholar_url": url, "affiliation": tx.clean_light(F.col("profile.affiliation")), "email_domain": F.col("profile.email_domain"), "interests": F.coalesce(tx.clean_light_all(F.col("profile.interests")), F.array().cast("array<string>")), **profile_metrics(), "scholar_profile_status": F.coalesce("scholar_profile_status", F.lit("pending")), "collection_status": F.coalesce("collection_status", F.lit("n/a")), "data_source": source}
     return full.withColumns(columns).drop("profile", "publications", "_n", "external_id", "n_publications_collected")
+
+
+def collected(primary: DataFrame, fallback: DataFrame, sources: list, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(publications, states, new cache rows): of each person the state that counts, its publications enriched.
+
+    States: chercheur_id, scholar_profile_status, publications; a matched state with publications is good.
+    """
+    from .enrich import enrich_all, work_key
+    from .relational import prefer
+
+    values = ["scholar_profile_status", "publications"]
+    good = (F.col("scholar_profile_status") == "matched") & (F.size("publications") > 0)
+    each, states = flatten(prefer(primary, fallback, "chercheur_id", good, values))
+    keyed = each.withColumn("key", F.when(F.length(F.trim("titre")) > 0, work_key(tx.match_key(F.col("titre")), F.col("annee"))))
+    numbered = keyed.withColumn("rid", F.xxhash64("raw_pub_id"))  # which of equal works is asked for does not matter
+    found, fresh = enrich_all(numbered, sources, cache)
+    return found.drop("key", "rid"), states, fresh

@@ -218,10 +218,8 @@ def html_nodes(html: Column) -> Column:
     return F.from_json(_read_tags(html), "array<struct<tag:string,depth:int>>")
 
 
-def robots_rules(spark: SparkSession, text: str | None, agent: str) -> DataFrame:
-    """(pattern, allow) of the groups of robots.txt that name the agent, else of those for all.  Unreadable: nothing is allowed."""
-    if text is None:
-        return spark.createDataFrame([("/", False)], "pattern string, allow boolean")
+def robots(text: str, agent: str) -> list[tuple[str, bool]]:
+    """(pattern, allow) of the groups of robots.txt that name the agent, else of those for all."""
     groups: dict[str, list] = {}
     names, fresh = [], True
     for line in text.splitlines():
@@ -235,9 +233,19 @@ def robots_rules(spark: SparkSession, text: str | None, agent: str) -> DataFrame
             fresh = True
             for name in names:
                 groups[name].append((value, field == "allow"))
-    mine = [r for name, rules in groups.items() if name != "*" and name and name in agent.lower() for r in rules]
-    named = any(name != "*" and name and name in agent.lower() for name in groups)
-    return spark.createDataFrame(mine if named else groups.get("*", []), "pattern string, allow boolean")
+    named = [name for name in groups if name not in ("", "*") and name in agent.lower()]
+    return [r for name in named for r in groups[name]] if named else groups.get("*", [])
+
+
+def permitted(rules: list[tuple[str, bool]], path: str) -> bool:
+    """robots_allowed() for one path."""
+    fit = [(len(p), allow) for p, allow in rules if p and re.match(re.escape(p[:-1] if p.endswith("$") else p).replace(r"\*", ".*") + ("$" if p.endswith("$") else ""), path)]
+    return max(fit, default=(0, True))[1]
+
+
+def robots_rules(spark: SparkSession, text: str | None, agent: str) -> DataFrame:
+    """robots() as a table.  Unreadable: nothing is allowed."""
+    return spark.createDataFrame([("/", False)] if text is None else robots(text, agent), "pattern string, allow boolean")
 
 
 def scholar_id(html: Column) -> Column:

@@ -34,3 +34,11 @@ def json_folder(spark: SparkSession, folder: str, schema: StructType | str, key:
 def saved_pages(spark: SparkSession, folder: str) -> DataFrame:
     """(path, html) of saved pages; bytes that are no UTF-8 become replacement characters."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.htm*").load(folder).select("path", F.expr("make_valid_utf8(cast(content as string))").alias("html"))
+
+
+def vectors_with_manifest(vectors: DataFrame, manifest: DataFrame, row: str = "row") -> DataFrame:
+    """Vectors by row number with the manifest's columns; a row of one without the other is an error."""
+    odd = vectors.select(row).join(manifest.select(row), row, "left_anti").unionByName(manifest.select(row).join(vectors.select(row), row, "left_anti")).limit(1)
+    if not odd.isEmpty():
+        raise ValueError("the manifest and the vectors have different rows")
+    return vectors.join(manifest, row)
