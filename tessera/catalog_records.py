@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.functions import values as vl
 from tessera.operators import dedup, enrich, layout, matching, quality, records, relational, reports, vectors
+from tessera.plans.shared import materialise
 from tessera.registry import query
 from tessera.sources import payloads, works
 from tessera.sources.readers import table
@@ -342,7 +343,7 @@ UNION ALL SELECT 'cleaning', 'unique_articles', count(*) FROM art UNION ALL SELE
 def whole_quality_report(spark: SparkSession, d: str) -> DataFrame:
     """The report over the clean records, each an article of its own."""
     raw = records.screen(_raw(spark, d))
-    articles = records.clean_publications(raw.where("reject IS NULL")).withColumn("n_source_records", F.lit(1))
+    articles = materialise(records.clean_publications(raw.where("reject IS NULL")).withColumn("n_source_records", F.lit(1)), "articles")
     people = table(spark, d, "supplier").select(F.when(c("s_suppkey") % 4 == 0, "pending").otherwise("matched").alias("scholar_profile_status"), F.when(c("s_suppkey") % 3 == 0, "none").otherwise("openalex").alias("data_source"))
     states = table(spark, d, "supplier").select(F.lit("matched").alias("scholar_profile_status"), F.when(c("s_suppkey") % 7 == 0, "blocked").alias("collection_status"))
     links = articles.select("raw_pub_id")
@@ -478,3 +479,65 @@ def as_of_many(spark: SparkSession, d: str) -> DataFrame:
     marks = li.select(c("l_extendedprice").alias("_s"), c("l_extendedprice").alias("_l"))
     points = li.select("l_orderkey", "l_linenumber", c("l_quantity").alias("x"), (c("l_quantity") * 1000).alias("y"))
     return relational._as_of_ranges(points, marks, "y", "mark", 0.0, 64).select("l_orderkey", "l_linenumber", "x", "mark")
+
+
+@query(
+    """WITH p AS (SELECT o_custkey AS person, o_orderkey AS author_id, 0.85 + (o_orderkey % 16) / 100.0::DOUBLE AS score, o_orderstatus <> 'P' AS at_home, floor(o_totalprice / 5000)::BIGINT AS works FROM orders), f AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY works DESC, author_id) AS r, max(works) OVER (PARTITION BY person) AS top FROM p WHERE round(score, 6) >= 0.9 AND at_home)
+SELECT person, CASE WHEN bool_or(r > 1 AND works >= greatest(20, 0.5 * top)) THEN 'ambiguous' ELSE 'matched' END AS status, min(CASE WHEN r = 1 THEN author_id END) AS author_id, array_to_string(list_sort(list(author_id) FILTER (r = 1 OR round(score, 6) >= 0.93)), ',') AS merged FROM f GROUP BY person"""
+)
+def author_choice(spark: SparkSession, d: str) -> DataFrame:
+    """M9: the author of most works at the institution, unless another is large too; fragments merged."""
+    o = table(spark, d, "orders")
+    given = o.select(c("o_custkey").alias("person"), c("o_orderkey").alias("author_id"), F.round(0.85 + (c("o_orderkey") % 16) / 100, 6).alias("score"), (c("o_orderstatus") != "P").alias("at_home"), F.floor(c("o_totalprice") / 5000).alias("works"))
+    return matching.choose_author(given, "person").select("person", "status", "author_id", F.array_join(F.transform("merged_ids", lambda x: x.cast("string")), ",").alias("merged"))
+
+
+@query("SELECT c_custkey, round(0.6 * c_acctbal / 10000 + 0.4, 3) AS fallback, round(least(1.0, c_acctbal / 10000 + CASE WHEN c_custkey % 3 = 0 THEN 0.1 WHEN c_custkey % 3 = 1 THEN 0.05 ELSE 0 END), 3) AS raised FROM customer WHERE c_acctbal >= 0")
+def confidences(spark: SparkSession, d: str) -> DataFrame:
+    """Confidence in the fallback source, and raised by co-authors."""
+    x = c("c_acctbal") / 10000
+    bonus = F.when(c("c_custkey") % 3 == 0, 0.1).when(c("c_custkey") % 3 == 1, 0.05).otherwise(0.0)
+    return table(spark, d, "customer").where("c_acctbal >= 0").select("c_custkey", matching.blended_confidence(x).alias("fallback"), matching.raised_confidence(x, bonus).alias("raised"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE source END AS journal, CASE WHEN doc_id % 2 = 0 THEN md5(text) ELSE 'old' END AS abstract, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN regexp_matches(text, '(…|\\.{3,})\\s*$') THEN 'truncated' ELSE 'found' END ELSE 'pending' END AS abstract_status FROM documents")
+def merged_details(spark: SparkSession, d: str) -> DataFrame:
+    """A detail page's fields over a listed record, never by an empty one."""
+    i = c("doc_id")
+    listed = table(spark, d, "documents").select(i, c("source").alias("journal"), F.lit("old").alias("abstract"), F.lit("pending").alias("abstract_status"), F.when(i % 3 == 0, c("lang")).otherwise("").alias("d_journal"), F.when(i % 2 == 0, c("text")).alias("d_abstract"))
+    merged = listed.withColumns(enrich.merge_detail(["journal", "abstract"]))
+    return merged.select("doc_id", "journal", F.when(c("abstract") == "old", "old").otherwise(F.md5("abstract")).alias("abstract"), "abstract_status")
+
+
+@query("SELECT label, count(*) AS n, count(*) FILTER (vec_id % 2 = 0) AS n_vectors, round(sum(CASE WHEN vec_id % 2 = 0 THEN round(embedding[1]::DOUBLE, 5) ELSE 0 END), 4) AS first_sum FROM embeddings GROUP BY label")
+def attached_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Nested items with their vectors, or none."""
+    from tessera.operators import embed
+
+    e = table(spark, d, "embeddings")
+    nested = e.groupBy("label").agg(F.array_sort(F.collect_list(F.struct(c("vec_id").alias("article_id")))).alias("articles"))
+    full = embed.attach(nested, e.where("vec_id % 2 = 0").select(c("vec_id").alias("article_id"), "embedding"), "true").select("label", F.explode("articles").alias("a"))
+    return full.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count("a.embedding").alias("n_vectors"), F.round(F.sum(F.coalesce(c("a.embedding")[0], F.lit(0.0))), 4).alias("first_sum"))
+
+
+@query(f"WITH {_SQL_CLEAN} SELECT rid FROM cleaned WHERE embedding_text IS NOT NULL AND embedding_source <> 'none'")
+def embeddable_records(spark: SparkSession, d: str) -> DataFrame:
+    """P5: records that have a text to embed."""
+    from tessera.operators import embed
+
+    return embed.embeddable(records.clean_publications(_raw(spark, d))).select("rid")
+
+
+@query(
+    """SELECT (SELECT count(*) FROM supplier) AS researchers, (SELECT count(s_nationkey) FROM supplier) AS with_h_index, (SELECT median(s_nationkey) FROM supplier) AS h_index_median, (SELECT max(s_nationkey) FROM supplier) AS h_index_max, (SELECT count(*) FROM documents) AS articles, (SELECT round(100 * avg(CASE WHEN n_chars > 500 THEN 1.0::DOUBLE ELSE 0 END), 1) FROM documents) AS pct_with_abstract, (SELECT count(*) FROM lineitem) AS links,
+(SELECT string_agg(y || ':' || n, ',' ORDER BY y) FROM (SELECT 2000 + doc_id % 7 AS y, count(*) AS n FROM documents GROUP BY 1)) AS by_year, (SELECT string_agg(s || ':' || n, ',' ORDER BY n DESC, s::VARCHAR) FROM (SELECT l_suppkey AS s, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, s::VARCHAR LIMIT 10)) AS most"""
+)
+def overall_summary(spark: SparkSession, d: str) -> DataFrame:
+    """One row about everything."""
+    people = table(spark, d, "supplier").select(c("s_suppkey").cast("string").alias("chercheur_id"), c("s_name").alias("nom_complet"), c("s_nationkey").alias("h_index"))
+    articles = table(spark, d, "documents").select((2000 + c("doc_id") % 7).alias("annee"), F.when(c("n_chars") > 500, "x").alias("abstract_clean"), F.lit("found").alias("abstract_status"))
+    links = table(spark, d, "lineitem").select(c("l_suppkey").cast("string").alias("chercheur_id"), c("l_orderkey").alias("article_id"))
+    pair = lambda k, v: F.concat_ws(":", k, v.cast("string"))
+    years = F.array_join(F.transform(F.map_entries("articles_by_year"), lambda e: pair(e["key"], e["value"])), ",")
+    most = F.array_join(F.transform("most_publications", lambda m: pair(m["chercheur_id"], m["n"])), ",")
+    return quality.summary(people, articles, links).select("researchers", "with_h_index", "h_index_median", "h_index_max", "articles", "pct_with_abstract", "links", years.alias("by_year"), most.alias("most"))

@@ -41,26 +41,40 @@ def email_domain(c: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(c, r"(?i)Verified email at\s+([\w.\-]+)", 1)), F.lit(""))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), the value evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def publication_date(raw: Column, fallback: Column) -> Column:
-    """struct(date, year, precision): ISO date at the precision known; an impossible month or day is dropped."""
-    text = F.trim(F.regexp_replace(raw, r"\s+", " "))
-    part = lambda pattern, i: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
+    """struct(date, year, precision): ISO date at the precision known; an impossible month or day is dropped.
+
+    raw is a column or an expression of built-ins.
+    """
     numeric = r"^(\d{4})(?:[/\-.](\d{1,2}))?(?:[/\-.](\d{1,2}))?$"
     month_first = r"^([A-Za-z]+)\.?\s+(?:(\d{1,2}),?\s+)?(\d{4})$"
     day_first = r"^(\d{1,2})\s+([A-Za-z]+)\.?,?\s+(\d{4})$"
     months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
     named = lambda c: F.try_element_at(months, F.lower(c))
-    year = F.coalesce(part(numeric, 1), part(month_first, 3), part(day_first, 3)).try_cast("int")
-    month = F.coalesce(part(numeric, 2).try_cast("int"), named(part(month_first, 1)), named(part(day_first, 2)))
-    day = F.coalesce(part(numeric, 3), part(month_first, 2), part(day_first, 1)).try_cast("int")
-    good_month = F.when(month.between(1, 12), month)
-    iso_month = F.format_string("%04d-%02d", year, good_month)
-    iso_day = F.format_string("%04d-%02d-%02d", year, good_month, day)
-    good_day = F.when(good_month.isNotNull() & day.isNotNull() & iso_day.try_cast("date").isNotNull(), day)
-    known = year_or_null(fallback)
-    date = F.when(year.isNull(), known.cast("string")).when(good_month.isNull(), year.cast("string")).when(good_day.isNull(), iso_month).otherwise(iso_day)
-    precision = F.when(year.isNull(), F.when(known.isNotNull(), "year")).when(good_month.isNull(), "year").when(good_day.isNull(), "month").otherwise("day")
-    return F.struct(date.alias("date"), F.coalesce(year, known).alias("year"), precision.alias("precision"))
+
+    def parts(text: Column) -> Column:
+        part = lambda pattern, i: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
+        year = F.coalesce(part(numeric, 1), part(month_first, 3), part(day_first, 3)).try_cast("int")
+        month = F.coalesce(part(numeric, 2).try_cast("int"), named(part(month_first, 1)), named(part(day_first, 2)))
+        day = F.coalesce(part(numeric, 3), part(month_first, 2), part(day_first, 1)).try_cast("int")
+        return F.struct(year.alias("y"), F.when(month.between(1, 12), month).alias("m"), day.alias("d"))
+
+    def dated(p: Column) -> Column:
+        iso_day = F.format_string("%04d-%02d-%02d", p["y"], p["m"], p["d"])
+        return F.struct(p["y"].alias("y"), p["m"].alias("m"), F.when(p["m"].isNotNull() & p["d"].isNotNull() & iso_day.try_cast("date").isNotNull(), iso_day).alias("iso"), year_or_null(fallback).alias("known"))
+
+    def said(p: Column) -> Column:
+        none, whole = p["y"].isNull(), p["iso"].isNotNull()
+        date = F.when(none, p["known"].cast("string")).when(p["m"].isNull(), p["y"].cast("string")).when(whole, p["iso"]).otherwise(F.format_string("%04d-%02d", p["y"], p["m"]))
+        precision = F.when(none, F.when(p["known"].isNotNull(), "year")).when(p["m"].isNull(), "year").when(whole, "day").otherwise("month")
+        return F.struct(date.alias("date"), F.coalesce(p["y"], p["known"]).alias("year"), precision.alias("precision"))
+
+    return _let(_let(_let(F.trim(F.regexp_replace(raw, r"\s+", " ")), parts), dated), said)
 
 
 def years_agree(a: Column, b: Column, within: int = 0) -> Column:

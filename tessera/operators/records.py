@@ -34,15 +34,15 @@ def clean_publications(raw: DataFrame, least_abstract: int = 50, year_min: int =
     c = F.col
     new = {f: tx.clean_light(c(f)) for f in ("titre", *PLAIN)}
     usable = F.when(~tx.looks_like_affiliation(c("abstract")), c("abstract"))
-    date = vl.publication_date(tx.clean_light(c("date_publication_raw")), vl.year_or_null(c("annee"), year_min))
+    date = vl.publication_date(c("_told"), vl.year_or_null(c("annee"), year_min))
     new |= {"auteurs": tx.clean_light_all(c("auteurs")), "_date": date, "_abstract": usable, "abstract_clean": tx.clean_abstract(tx.clean_light(usable)), "citations": vl.count_or_null(c("citations"))}
     new |= {u: vl.web_url(tx.clean_light(c(u))) for u in ("scholar_url", "pdf_url")}
     new |= {"doi": F.coalesce(tx.normalize_doi(c("doi")), tx.extract_doi(c("external_url")))}
-    out = raw.withColumns(new)
+    out = raw.withColumn("_told", tx.clean_light(c("date_publication_raw"))).withColumns(new)
     text, source = tx.embedding_text(c("titre"), c("abstract_clean"), least_abstract)
     has = c("abstract_clean").isNotNull()
     out = out.withColumns({"annee": c("_date.year"), "date_publication": c("_date.date"), "date_precision": c("_date.precision"), "abstract_status": abstract_state(c("abstract_clean"), c("abstract_status"), least_abstract), "abstract": F.when(has, c("_abstract")), "abstract_source": F.when(has, c("abstract_source")), "embedding_text": text, "embedding_source": source})
-    return out.drop("_date", "_abstract", "date_publication_raw", "external_url")
+    return out.drop("_date", "_abstract", "_told", "date_publication_raw", "external_url")
 
 
 def screen(raw: DataFrame, people: DataFrame | None = None, person: str = "chercheur_id") -> DataFrame:

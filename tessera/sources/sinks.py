@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 
 def parquet(df: DataFrame, path: str, *by: str) -> None:
@@ -16,7 +17,19 @@ def csv(df: DataFrame, path: str) -> None:
     df.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def finite(col: Column, kind: DataType) -> Column:
+    """The column with NaN and infinities as null, inside arrays, maps and structs too."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(~F.isnan(col) & (F.abs(col) != float("inf")), col)
+    if isinstance(kind, ArrayType):
+        return F.transform(col, lambda x: finite(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(col, lambda _, v: finite(v, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(col.isNotNull(), F.struct(*[finite(col[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return col
+
+
 def json_lines(df: DataFrame, path: str) -> None:
     """NaN and infinities are written as null."""
-    doubles = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
-    df.withColumns({c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)) for c in doubles}).write.mode("overwrite").json(path)
+    df.select(*[finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]).write.mode("overwrite").json(path)

@@ -146,3 +146,20 @@ def test_command_line(spark, tmp_path):
     assert got["publications_by_person"] == [("Ann", 2), ("Bo", 1)] and got["publications_by_lab"][0][1] == 2 and got["articles_by_year"] == [(2015, 1), (2016, 1)] and got["citations_by_person"] == [("Ann", 5)]
     with pytest.raises(SystemExit):
         main(["unknown"], spark)
+
+
+def test_json_has_no_nan(spark, tmp_path):
+    from tessera.sources import sinks
+
+    df = spark.createDataFrame([(1, float("nan"), [1.0, float("inf")], (float("nan"), "x"), {"k": float("-inf")})], "i int, a double, b array<double>, s struct<x:double,y:string>, m map<string,double>")
+    sinks.json_lines(df, str(tmp_path / "j"))
+    text = "".join(p.read_text() for p in (tmp_path / "j").glob("part-*"))
+    assert "NaN" not in text and "Infinity" not in text and json.loads(text)["b"] == [1.0, None] and json.loads(text)["s"] == {"y": "x"}
+    sinks.csv(df.select("i", "b"), str(tmp_path / "c"))
+    assert readers.csv(spark, str(tmp_path / "c"), "i int, b string").first().i == 1
+
+
+def test_best_titles(spark):
+    items = spark.createDataFrame([("a", "deep nets for rivers", 2015), ("b", "nothing alike", None)], "item string, title_key string, year int")
+    found = spark.createDataFrame([("a", 0, "deep nets for rivers", 2019), ("a", 1, "deep net for rivers", 2016), ("a", 2, "deep nets for river", None), ("b", 0, "other words", 2015)], "item string, pos int, title_key string, year int")
+    assert [(r.item, r.pos) for r in matching.best_title(items, found, "item").collect()] == [("a", 1)]
