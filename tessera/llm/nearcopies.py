@@ -45,6 +45,8 @@ SMALL = 4
 CHUNK = 16_384
 _SENT = pa.schema({"src": pa.int64(), "dst": pa.int64(), "key": pa.int64(), "piece": pa.int32(), "print": pa.binary()})
 PIECE_SHINGLES = 1 << 20
+#: Rows of two numbers up to which a table is broadcast.
+BROADCAST = 1 << 18
 _DOCS = 128
 _BYTES = 1 << 20
 
@@ -312,13 +314,16 @@ def exact_forest(nodes: np.ndarray, prints: np.ndarray, hashes: np.ndarray, boun
 def accepted_links(docs: DataFrame, classes: DataFrame, proposed: DataFrame, shingle: int) -> DataFrame:
     """Links (src, dst) between nodes of one proposed component (node, component), by the exact similarity of their sets."""
     named = proposed.join(classes.select("node", "doc_id", "name", "n", "print"), "node")
-    pieces = proposed.join(classes.select("node", "n"), "node").groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / PIECE_SHINGLES)).alias("pieces"))
-    large = pieces.where("pieces > 1").withColumnRenamed("component", "_large")
-    dealt = F.coalesce(F.pmod(F.xxhash64("node"), F.col("pieces")), F.lit(0)).cast("int")
-    members = materialise(named.join(large, F.col("component") == F.col("_large"), "left").withColumn("piece", dealt).drop("_large", "pieces"), "members")
+    sizes = named.groupBy("component").agg(F.ceil(F.sum("n") / PIECE_SHINGLES).alias("pieces")).where("pieces > 1")
+    large = materialise(sizes.withColumnRenamed("component", "_large"), "large")
+    # few as a rule; a join by component would bring the members of a large one to one task
+    large = F.broadcast(large) if large.count() <= BROADCAST else large
+    told = named.join(large, F.col("component") == F.col("_large"), "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    dealt = {"piece": F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"), "most": (F.col("pieces") - 1).cast("int")}
+    members = materialise(told.withColumns(dealt).drop("_large", "pieces"), "members")
     texts = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = _sets(texts, shingle).join(members, "name").dropDuplicates(["node"])
-    rows = sets.select(F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("component").alias("key"), "piece", "print", "shingles")
+    rows = sets.select(F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("component").alias("key"), "piece", "most", "print", "shingles")
 
     def decide(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()

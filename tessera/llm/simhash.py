@@ -209,11 +209,13 @@ def meetings(sent: DataFrame, forest: Callable[[pa.Table], pa.Table]) -> DataFra
     """Links (src, dst) of a table of links and of rows (key, piece, ...) of hot buckets, which bring no link yet.
 
     Each piece of a bucket meets every other one in a group of its own, to which forest() is applied; where there is
-    but one, it is alone.  So a task holds two pieces, and a hot bucket is spread over many tasks.
+    but one, it is alone.  So a task holds two pieces, and a hot bucket is spread over many tasks.  A column most, the
+    number of the bucket's last piece, spares a join.
     """
     hot = sent.where(F.col("key").isNotNull())
-    most = hot.groupBy("key").agg(F.max("piece").alias("most"))
-    meets = hot.join(most, "key").withColumn("other", F.explode(F.sequence(F.lit(0), "most"))).where("other <> piece or most = 0")
+    if "most" not in sent.columns:
+        hot = hot.join(hot.groupBy("key").agg(F.max("piece").alias("most")), "key")
+    meets = hot.withColumn("other", F.explode(F.sequence(F.lit(0), "most"))).where("other <> piece or most = 0")
     across = meets.groupBy("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j")).applyInArrow(forest, "src long, dst long")
     return sent.where(F.col("key").isNull()).select("src", "dst").unionByName(across)
 
