@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, nearcopies, pii, quality
-from tessera.plans.shared import materialise
+from tessera.plans.shared import discard, materialise, scratch
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of the documents that came through all stages.  What a stage wrote is deleted once the next has been written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialise(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch() as steps:
+            done = steps.keep(materialise(stage(spark, docs, sf_dir), f"stage{k}"))
+        discard(docs)
+        docs = done
+    return STAGES[-1][1](spark, docs, sf_dir)

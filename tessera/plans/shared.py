@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+class Scratch:
+    """Tables that are deleted at the end of scratch(), but for those kept."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables = [t for t in self.tables if t is not df]
+        return df
+
+
+_scratch: list[Scratch] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """What materialise() writes inside is deleted at the end, as nothing that is still to run reads it; keep() spares a
+    table, which then belongs to the scratch() around this one, if there is one."""
+    own = Scratch()
+    _scratch.append(own)
+    written: list[DataFrame] = []
+    try:
+        yield own
+        written = own.tables
+    finally:
+        _scratch.remove(own)
+        for df in written:
+            discard(df)
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a table to the shared folder and read it back: what follows no longer depends on the plan before."""
     spark = df.sparkSession
@@ -27,6 +59,8 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    for held in _scratch[-1:]:
+        held.tables.append(out)
     return out
 
 

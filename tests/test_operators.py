@@ -128,3 +128,14 @@ def test_state_versions(spark, tmp_path):
     run(second, 1)
     run(second, 1)  # a batch that is run again
     assert sorted((r.k, r.t) for r in read_state(spark, str(tmp_path / "state")).collect()) == [(1, 5), (2, 1)]
+
+
+def test_scratch_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from tessera.plans.shared import materialise, scratch
+
+    with scratch() as steps:
+        a = materialise(spark.range(3))
+        b = steps.keep(materialise(a.where("id > 0")))
+    assert not Path(a._tessera_path).exists() and b.count() == 2
