@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
-from tessera.plans.shared import materialise
+from tessera.plans.shared import materialise, scratch
 
 from . import blocks as bl
 from . import simhash
@@ -344,10 +344,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are one class, so groups of copies of any size add no links.  No rows: no rows.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    each = materialise(sketches(texts, shingle), "sketches")
-    classes = materialise(each.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("print").alias("print"), F.min("codes").alias("codes")).withColumn("node", F.xxhash64("name")), "classes")
-    proposed = connected_components(links(classes))
-    labels = materialise(connected_components(accepted_links(texts, classes, proposed, shingle)), "labels")
+    with scratch() as steps:
+        each = steps.keep(materialise(sketches(texts, shingle), "sketches"))
+        grouped = each.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("print").alias("print"), F.min("codes").alias("codes"))
+        classes = steps.keep(materialise(grouped.withColumn("node", F.xxhash64("name")), "classes"))
+        proposed = connected_components(links(classes))
+        labels = steps.keep(materialise(connected_components(accepted_links(texts, classes, proposed, shingle)), "labels"))
     least = labels.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
     named = classes.select("name", "node", "doc_id").join(labels, "node", "left").join(least, "component", "left").select("name", F.coalesce("least", "doc_id").alias("component_id"))
     return each.select("doc_id", "name").join(named, "name").select("doc_id", "component_id")

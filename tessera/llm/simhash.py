@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
-from tessera.plans.shared import materialise
+from tessera.plans.shared import materialise, scratch
 
 from . import blocks as bl
 from . import textbytes as tb
@@ -295,9 +295,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts that are null or have no word get fingerprint zero and are linked like any other.  Equal
     fingerprints are one node, so a group of copies of any size adds no links.  A null id is never the least.
     """
-    each = materialise(fingerprints(docs, id_col, text_col, shingle), "prints")
-    classes = materialise(each.groupBy("print").agg(F.min("doc_id").alias("least")), "classes")
-    labels = connected_components(links(classes, classes.count()))
+    with scratch() as steps:
+        each = steps.keep(materialise(fingerprints(docs, id_col, text_col, shingle), "prints"))
+        classes = steps.keep(materialise(each.groupBy("print").agg(F.min("doc_id").alias("least")), "classes"))
+        labels = steps.keep(materialise(connected_components(links(classes, classes.count())), "labels"))
     rooted = classes.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     least = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "component").select("print", "component_id")
