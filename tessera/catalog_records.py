@@ -417,7 +417,7 @@ def most_cited(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").orderBy(c("o_totalprice").desc(), "o_orderkey").limit(15).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("SELECT o_custkey AS owner, avg(CASE WHEN o_orderkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END) AS recall FROM orders GROUP BY 1 UNION ALL SELECT NULL, avg(r) FROM (SELECT avg(CASE WHEN o_orderkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END) AS r FROM orders GROUP BY o_custkey)")
+@query("SELECT o_custkey AS owner, round(avg(CASE WHEN o_orderkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END), 9) AS recall FROM orders GROUP BY 1 UNION ALL SELECT NULL, round(avg(r), 9) FROM (SELECT avg(CASE WHEN o_orderkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END) AS r FROM orders GROUP BY o_custkey)")
 def fallback_recall(spark: SparkSession, d: str) -> DataFrame:
     """Share of each owner's works that the other source has, by DOI here, and the mean."""
     o = table(spark, d, "orders").select(c("o_custkey").alias("owner"), c("o_orderkey").cast("string").alias("doi"), F.lit("").alias("title_key"), "o_orderkey")
