@@ -56,9 +56,18 @@ def title_edges(records: DataFrame) -> DataFrame:
     points = _points(kept.select("rid", "title_key", "year", "doi"))
     star = points.where("rid <> point").select(F.col("point").alias("src"), F.col("rid").alias("dst"))
     distinct = points.where("rid = point").select("rid", "title_key", "year", "doi")
-    a, b = distinct.alias("a"), distinct.alias("b")
-    joined = a.join(b, (F.col("a.title_key") == F.col("b.title_key")) & (F.col("a.rid") < F.col("b.rid")) & years_agree(F.col("a.year"), F.col("b.year")) & ~doi_conflict(F.col("a.doi"), F.col("b.doi")))
-    return star.unionByName(joined.select(F.col("a.rid").alias("src"), F.col("b.rid").alias("dst")))
+    # without a DOI a title has one point a year, so few meet all; two with DOIs meet only over one DOI
+    bare, named = distinct.where("doi IS NULL"), distinct.where("doi IS NOT NULL")
+
+    def pairs(left: DataFrame, right: DataFrame, same: list[str], once: bool) -> DataFrame:
+        a, b = left.alias("a"), right.alias("b")
+        fit = years_agree(F.col("a.year"), F.col("b.year"))
+        for column in same:
+            fit = fit & (F.col(f"a.{column}") == F.col(f"b.{column}"))
+        met = a.join(b, fit & (F.col("a.rid") < F.col("b.rid")) if once else fit)
+        return met.select(F.least("a.rid", "b.rid").alias("src"), F.greatest("a.rid", "b.rid").alias("dst"))
+
+    return star.unionByName(pairs(bare, bare, ["title_key"], True)).unionByName(pairs(bare, named, ["title_key"], False)).unionByName(pairs(named, named, ["title_key", "doi"], True))
 
 
 def fuzzy_edges(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
