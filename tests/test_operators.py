@@ -43,7 +43,7 @@ def test_dedup_cases(spark):
 
 def test_survivors_and_numbers(spark):
     rows = [(0, 0, "b", None, 5), (1, 0, "b", "d", 3), (2, 2, "a", None, None)]
-    merged = dedup.survivors(spark.createDataFrame(rows, "rid long, root long, title_key string, doi string, year int"), ["title_key", "doi", "year"], [F.col("doi").isNotNull().desc()])
+    merged = dedup.survivors(spark.createDataFrame(rows, "rid long, root long, title_key string, doi string, year int"), ["title_key", "doi", "year"], [F.col("doi").isNull().cast("int")])
     got = {r.article_id: (r.root, r.doi, r.year, r.n_source_records) for r in dedup.number_articles(merged).collect()}
     assert got == {"art_00001": (2, None, None, 1), "art_00002": (0, "d", 3, 2)}
 
@@ -93,12 +93,15 @@ def test_layout(spark):
 
 
 def test_enrichment_order(spark):
-    records = spark.createDataFrame([("k", None, "short", None), ("f", "d", "y" * 90, "v")], "key string, doi string, abstract string, venue string")
-    first = spark.createDataFrame([("k", "found", "d1", "longer but cut ...", None)], "key string, status string, doi string, abstract string, venue string")
-    second = spark.createDataFrame([("k", "found", "d2", "x" * 100, "V")], "key string, status string, doi string, abstract string, venue string")
-    got = {r.key: r for r in enrich.enrich(records, [("one", first), ("two", second)], "key").collect()}
-    assert (got["k"].doi, got["k"].venue, got["k"].abstract_source, got["k"].abstract_status) == ("d1", "V", "two", "found")
-    assert [a.source for a in got["k"].attempts] == ["one", "two"] and got["f"].attempts == []
+    given = "key string, doi string, external_url string, pdf_url string, abstract string, abstract_source string, abstract_status string, journal string, conference string, publisher string"
+    records = spark.createDataFrame([("k", None, None, "http://x/10.1000/p", "short", "own", "truncated", None, None, None), ("f", "10.1000/f", None, None, "y" * 90, "own", "found", None, "V", None)], given)
+    answer = "key string, status string, doi string, abstract string, journal string, publisher string"
+    first = spark.createDataFrame([("k", "ok", "10.1000/other", "longer but cut " * 9 + "...", None, "P")], answer)
+    second = spark.createDataFrame([("k", "ok", None, "x" * 100, "J", "Q")], answer)
+    got = {r.key: r for r in enrich.enrich(records, [("one", first), ("two", second)]).collect()}
+    k, f = got["k"], got["f"]
+    assert (k.doi, k.journal, k.publisher, k.abstract, k.abstract_source, k.abstract_status, k.final) == ("10.1000/p", "J", "P", "x" * 100, "two", "found", True)
+    assert [(a.source, a.status) for a in k.attempts] == [("one", "found"), ("two", "found")] and f.attempts == [] and f.journal is None
 
 
 def test_prefer_and_violations(spark):
