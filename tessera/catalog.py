@@ -167,12 +167,12 @@ def title_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     """Items and documents of token Jaccard 0.2 or more, by prefix and length filter."""
     words = lambda c: F.array_distinct(tx.tokens(tx.match_key_ascii(c)))
     a = table(spark, d, "benchmark").select("item_id", words(F.col("text")).alias("ta"))
-    b = _docs(spark, d).select("doc_id", words(F.col("text")).alias("tb"))
+    most = a.agg(F.coalesce(F.max(F.size("ta")), F.lit(0))).first()[0]
+    b = _docs(spark, d).select("doc_id", words(F.col("text")).alias("tb")).where(F.size("tb") <= 5 * most)  # a larger set shares too few
     frequency = b.select(F.explode("tb").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     one = a.select("item_id", F.size("ta").alias("n"), F.explode("ta").alias("t")).join(frequency, "t", "left")
     place = F.row_number().over(W.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "t"))  # a window over one item's words
     prefix = one.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") / 5) + 1)
-    # a set of over five times as many words shares too few of them
     sized = b.select("doc_id", F.size("tb").alias("m"), F.explode("tb").alias("t"))
     pairs = prefix.select("item_id", "n", "t").join(sized, "t").where((F.col("m") <= 5 * F.col("n")) & (F.col("n") <= 5 * F.col("m"))).select("item_id", "doc_id").distinct()
     full = pairs.join(a, "item_id").join(b, "doc_id")

@@ -161,8 +161,14 @@ def extract_doi(c: Column) -> Column:
 
 
 def looks_like_affiliation(light: Column) -> Column:
+    """Two places of work in a short text, or one after a number and a capital, and no sign of sentences.
+
+    The costly patterns are only tried on texts that the cheap ones leave.
+    """
     hits = F.regexp_count(light, F.lit(AFFILIATION))
-    return F.coalesce(~light.rlike(SENTENCE_CUES) & (((hits >= 2) & (F.length(light) < 600)) | (light.rlike(r"^\d+\s?[A-Z]") & (hits >= 1))), F.lit(False))
+    short, listed = F.length(light) < 600, light.rlike(r"^\d+\s?[A-Z]")
+    places = F.when(listed, hits >= 1).otherwise(hits >= 2)
+    return F.when(short | listed, places & ~light.rlike(SENTENCE_CUES)).otherwise(F.lit(False))
 
 
 def embedding_text(title: Column, abstract: Column, least: int = 50) -> tuple[Column, Column]:
