@@ -196,7 +196,7 @@ SELECT person, coalesce(status, 'not_found') AS status, round(score, 3) AS confi
 )
 def match_decisions(spark: SparkSession, d: str) -> DataFrame:
     """The decision for each person, with the five best candidates."""
-    given = table(spark, d, "orders").select(c("o_custkey").alias("person"), c("o_orderkey").alias("candidate_id"), (F.lit(0.5) + (c("o_orderkey") % 50) / 100).alias("name_score"), F.round(c("o_totalprice") % 1000 / 1000, 3).alias("score"))
+    given = table(spark, d, "orders").select(c("o_custkey").alias("person"), c("o_orderkey").alias("candidate_id"), (F.lit(0.5) + (c("o_orderkey") % 50) / 100).alias("name_score"), vl.scaled_round(c("o_totalprice") % 1000 / 1000, 3).alias("score"))
     listing = F.array_join(F.transform("listing", lambda x: x["candidate_id"].cast("string")), ",")
     return matching.decide(given, "person").select("person", "status", "confidence", "candidate_id", listing.alias("listing"))
 

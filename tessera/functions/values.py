@@ -108,3 +108,11 @@ def words_from_index(index: Column) -> Column:
     ordered = F.array_sort(entries)
     last = F.filter(ordered, lambda e, k: (k + 1 == F.size(ordered)) | (F.try_element_at(ordered, (k + 2).cast("int"))["p"] != e["p"]))
     return F.nullif(F.array_join(F.transform(last, lambda e: e["w"]), " "), F.lit(""))
+
+
+def scaled_round(x: Column, places: int) -> Column:
+    """x rounded as SQL engines on doubles do: the product with 10^places to whole numbers, ties away from zero.
+
+    Spark's round looks at the shortest decimals instead: 0.5115 gives 0.512 there and 0.511 here, as 0.5115 * 1000 is below 511.5.
+    """
+    return F.round(x.cast("double") * 10.0**places, 0) / 10.0**places
