@@ -7,12 +7,19 @@ compared with itself in full.
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from tessera.functions.text import sequence_ratio, tokens
+from tessera.functions.text import tokens
 from tessera.functions.values import years_agree
+from tessera.plans.shared import materialise, scratch
 
 from .components import connected_components
 
@@ -41,10 +48,13 @@ def doi_edges(records: DataFrame) -> DataFrame:
 
 
 def _points(records: DataFrame) -> DataFrame:
-    """The records with point, the least of those alike in title, year and DOI."""
-    least = records.groupBy(F.col("title_key").alias("_t"), F.col("year").alias("_y"), F.col("doi").alias("_d")).agg(F.min("rid").alias("point"))
-    alike = F.col("title_key").eqNullSafe(F.col("_t")) & F.col("year").eqNullSafe(F.col("_y")) & F.col("doi").eqNullSafe(F.col("_d"))
-    return records.join(least, alike).drop("_t", "_y", "_d")
+    """(rid, name, year, doi, words, kinds, point) of the records: a digest of the title, how many words and different words
+    it has, and the least of those alike in title, year and DOI.  What follows compares and moves digests, not titles."""
+    tok = tokens(F.col("title_key"))
+    named = records.select("rid", F.unhex(F.sha2("title_key", 256)).alias("name"), "year", "doi", F.size(tok).alias("words"), F.size(F.array_distinct(tok)).alias("kinds"))
+    least = named.groupBy(F.col("name").alias("_t"), F.col("year").alias("_y"), F.col("doi").alias("_d")).agg(F.min("rid").alias("point"))
+    alike = F.col("name").eqNullSafe(F.col("_t")) & F.col("year").eqNullSafe(F.col("_y")) & F.col("doi").eqNullSafe(F.col("_d"))
+    return named.join(least, alike).drop("_t", "_y", "_d")
 
 
 def title_edges(records: DataFrame) -> DataFrame:
@@ -52,10 +62,13 @@ def title_edges(records: DataFrame) -> DataFrame:
 
     Records alike in title, year and DOI are one point, so copies add a star and not all pairs.
     """
-    kept = records.where(F.size(tokens(F.col("title_key"))) >= 3)
-    points = _points(kept.select("rid", "title_key", "year", "doi"))
+    return _title_edges(_points(records))
+
+
+def _title_edges(points: DataFrame) -> DataFrame:
+    points = points.where("words >= 3")
     star = points.where("rid <> point").select(F.col("point").alias("src"), F.col("rid").alias("dst"))
-    distinct = points.where("rid = point").select("rid", "title_key", "year", "doi")
+    distinct = points.where("rid = point").select("rid", "name", "year", "doi")
     # without a DOI a title has one point a year, so few meet all; two with DOIs meet only over one DOI
     bare, named = distinct.where("doi IS NULL"), distinct.where("doi IS NOT NULL")
 
@@ -67,29 +80,83 @@ def title_edges(records: DataFrame) -> DataFrame:
         met = a.join(b, fit & (F.col("a.rid") < F.col("b.rid")) if once else fit)
         return met.select(F.least("a.rid", "b.rid").alias("src"), F.greatest("a.rid", "b.rid").alias("dst"))
 
-    return star.unionByName(pairs(bare, bare, ["title_key"], True)).unionByName(pairs(bare, named, ["title_key"], False)).unionByName(pairs(named, named, ["title_key", "doi"], True))
+    return star.unionByName(pairs(bare, bare, ["name"], True)).unionByName(pairs(bare, named, ["name"], False)).unionByName(pairs(named, named, ["name", "doi"], True))
+
+
+#: Words that are told apart by frequency; the rest, all rarer, come first by their hashes.  Any one order of words is exact.
+FREQUENT = 1 << 16
+
+
+def _prefixes(titles: DataFrame) -> DataFrame:
+    """(rid, y, l, n, p, h): the rarest words of each title of n different words, at place p in the order of all words.
+
+    h mixes the hashes of a word and of the title's markers, as titles with other markers do not meet.
+    """
+    tok = F.array_distinct(tokens(F.col("title_key")))
+    hashed = titles.select("rid", F.col("year").cast("int").alias("y"), F.length("title_key").alias("l"), F.xxhash64(markers(tok)).alias("m"), F.transform(tok, lambda t: F.xxhash64(t)).alias("h"))
+    often = hashed.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "h").limit(FREQUENT).toArrow()
+    by_hash = np.argsort(often.column("h").to_numpy())
+    known, counts = often.column("h").to_numpy()[by_hash], often.column("df").to_numpy()[by_hash]
+
+    def rarest(batches):
+        for batch in batches:
+            words = batch.column("h")
+            n = words.value_lengths().to_numpy(zero_copy_only=False)
+            h, row = words.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
+            near = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            df = np.where(known[near] == h, counts[near], 0) if len(known) else np.zeros(len(h), np.int64)
+            order = np.lexsort((h, df, row))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) + 1
+            kept = place <= (n - (JACCARD_NUM * n + JACCARD_DEN - 1) // JACCARD_DEN + 1)[row]
+            of = pa.array(row[kept])
+            mixed = h[order][kept] ^ batch.column("m").to_numpy(zero_copy_only=False)[row[kept]]
+            yield pa.record_batch([batch.column("rid").take(of), batch.column("y").take(of), batch.column("l").take(of), pa.array(n[row[kept]].astype(np.int32)), pa.array(place[kept].astype(np.int32)), pa.array(mixed)], ["rid", "y", "l", "n", "p", "h"])
+
+    return hashed.mapInArrow(rarest, "rid long, y int, l int, n int, p int, h long")
+
+
+def _alike(threshold: float):
+    """Whether two titles have the Jaccard coefficient, the same markers and the ratio; cheap conditions first."""
+
+    @pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: str, y: str) -> bool:
+            left, right = ({t for t in title.split(" ") if t} for title in (x, y))
+            common = len(left & right)
+            if common * JACCARD_DEN < (len(left) + len(right) - common) * JACCARD_NUM:
+                return False
+            if any(t in ROMAN or (t.isascii() and t.isdigit()) for t in left ^ right):
+                return False
+            match = SequenceMatcher(None, x, y)
+            return match.quick_ratio() >= threshold and match.ratio() >= threshold
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    return alike
 
 
 def fuzzy_edges(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Years at most one apart, four words or more, token Jaccard of 0.6, the same markers, ratio above the threshold."""
-    base = records.where("year is not null").withColumn("tok", F.array_distinct(tokens(F.col("title_key")))).where(F.size("tok") >= 4).select("rid", "title_key", "year", "doi", "tok", markers(F.col("tok")).alias("marks"))
-    pointed = _points(base)
-    points = pointed.where("rid = point").drop("point")
-    frequency = points.select(F.explode("tok").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ranked = points.select("rid", F.size("tok").alias("n"), F.explode("tok").alias("t")).join(frequency, "t").withColumn("place", F.row_number().over(W.partitionBy("rid").orderBy("df", "t")))
-    need = F.floor((F.lit(JACCARD_NUM) * F.col("n") + JACCARD_DEN - 1) / JACCARD_DEN)
-    prefix = ranked.where(F.col("place") <= F.col("n") - need + 1).select("rid", "t").join(points.select("rid", "year", F.size("tok").alias("n")), "rid")
-    left = prefix.select(F.col("rid").alias("src"), "t", F.col("year").alias("y"), F.col("n").alias("n1"), F.col("year").alias("y1"))
-    right = prefix.select(F.col("rid").alias("dst"), "t", F.explode(F.array(F.col("year"), F.col("year") - 1)).alias("y"), F.col("n").alias("n2"), F.col("year").alias("y2"))
+    return _fuzzy_edges(records, _points(records), threshold)
+
+
+def _fuzzy_edges(records: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
+    """Only titles that can reach the Jaccard coefficient by the words they share in their prefixes, and by what is left
+    after the last of these (Xiao et al., "Efficient Similarity Joins for Near Duplicate Detection", 2008), are read."""
+    points = points.where("year IS NOT NULL AND kinds >= 4")
+    titles = materialise(records.select("rid", "title_key", "year", "doi").join(points.where("rid = point").select("rid"), "rid", "left_semi"), "titles")
+    prefix = materialise(_prefixes(titles), "prefixes")
+    left = prefix.select(F.col("rid").alias("src"), "h", "y", *[F.col(x).alias(f"{x}1") for x in ("y", "l", "n", "p")])
+    right = prefix.select(F.col("rid").alias("dst"), "h", F.explode(F.array(F.col("y"), F.col("y") - 1)).alias("y"), *[F.col(x).alias(f"{x}2") for x in ("y", "l", "n", "p")])
     # in one year the earlier record comes first, across years the earlier year
     order = (F.col("y2") > F.col("y1")) | ((F.col("y2") == F.col("y1")) & (F.col("src") < F.col("dst")))
-    length = (F.col("n1") * JACCARD_NUM <= F.col("n2") * JACCARD_DEN) & (F.col("n2") * JACCARD_NUM <= F.col("n1") * JACCARD_DEN)
-    pairs = left.join(right, ["t", "y"]).where(order & length).select("src", "dst").distinct()
-    full = pairs.join(points.select(F.col("rid").alias("src"), F.struct("title_key", "doi", "tok", "marks").alias("a")), "src").join(points.select(F.col("rid").alias("dst"), F.struct("title_key", "doi", "tok", "marks").alias("b")), "dst")
-    la, lb = F.length("a.title_key"), F.length("b.title_key")
-    cheap = full.where(~doi_conflict(F.col("a.doi"), F.col("b.doi")) & (F.col("a.marks") == F.col("b.marks")) & (F.size(F.array_intersect("a.tok", "b.tok")) * JACCARD_DEN >= F.size(F.array_union("a.tok", "b.tok")) * JACCARD_NUM) & (2 * F.least(la, lb) >= threshold * (la + lb)))
-    found = cheap.withColumn("ratio", sequence_ratio(F.col("a.title_key"), F.col("b.title_key"))).where(F.col("ratio") >= threshold).select("src", "dst")
-    same = pointed.where("rid <> point").select(F.col("point").alias("src"), F.col("rid").alias("dst"))
+    length = (F.col("n1") * JACCARD_NUM <= F.col("n2") * JACCARD_DEN) & (F.col("n2") * JACCARD_NUM <= F.col("n1") * JACCARD_DEN) & (2 * F.least("l1", "l2") >= threshold * (F.col("l1") + F.col("l2")))
+    met = left.join(right, ["h", "y"]).where(order & length).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c"), F.min(F.col("n1") + F.col("n2")).alias("n"), F.min(F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))).alias("rest"))
+    pairs = met.where((JACCARD_NUM + JACCARD_DEN) * (F.col("c") + F.col("rest")) >= JACCARD_NUM * F.col("n")).select("src", "dst")
+    full = pairs.join(titles.select(F.col("rid").alias("src"), F.struct("title_key", "doi").alias("a")), "src").join(titles.select(F.col("rid").alias("dst"), F.struct("title_key", "doi").alias("b")), "dst")
+    fit = full.where(~doi_conflict(F.col("a.doi"), F.col("b.doi"))).withColumn("alike", _alike(threshold)(F.col("a.title_key"), F.col("b.title_key")))
+    found = fit.where("alike").select("src", "dst")
+    same = points.where("rid <> point").select(F.col("point").alias("src"), F.col("rid").alias("dst"))
     return found.unionByName(same)
 
 
@@ -98,8 +165,11 @@ def group_records(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
     The relation is closed transitively: two DOIs may meet through a record without one.
     """
-    edges = doi_edges(records).unionByName(title_edges(records)).unionByName(fuzzy_edges(records, threshold))
-    labels = connected_components(edges).select(F.col("node").alias("rid"), F.col("component").alias("root"))
+    with scratch() as steps:
+        thin = materialise(records.select("rid", "title_key", "year", "doi"), "records")
+        points = materialise(_points(thin), "points")
+        edges = doi_edges(points).unionByName(_title_edges(points)).unionByName(_fuzzy_edges(thin, points, threshold))
+        labels = steps.keep(materialise(connected_components(edges).select(F.col("node").alias("rid"), F.col("component").alias("root")), "labels"))
     return records.join(labels, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
 
 
@@ -109,25 +179,18 @@ def survivors(grouped: DataFrame, fields: list[str], rank: list[Column]) -> Data
     return grouped.groupBy("root").agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), order)).alias(f) for f in fields], F.count(F.lit(1)).alias("n_source_records"), F.array_sort(F.collect_list("rid")).alias("rids"))
 
 
-#: Letters of a title that make its ranges, each within the one before.
-LEVELS = (2, 8, 24)
-
-
 def number_articles(merged: DataFrame) -> DataFrame:
     """article_id by rank of (title, year or 0), ties by least record.
 
-    Ranks are sums over ranges of titles by their first letters, ranges within ranges, so no task sorts all articles.
+    The articles are written once, dealt by ranges of that order; a rank is a place in a range and the sizes of those before.
     """
-    out, outer, before = merged, [], F.lit(0)
-    for n in LEVELS:
-        name = f"_range{n}"
-        out = out.withColumn(name, F.left("title_key", F.lit(n)))
-        sizes = out.groupBy(*outer, name).agg(F.count(F.lit(1)).alias("_n"))
-        ahead = F.sum("_n").over(W.partitionBy(*outer).orderBy(name).rowsBetween(W.unboundedPreceding, -1))
-        out = out.join(sizes.select(F.col(name).alias("_r"), F.coalesce(ahead, F.lit(0)).alias(f"_before{n}")), F.col(name) == F.col("_r")).drop("_r")
-        outer, before = [name], before + F.col(f"_before{n}")
-    place = F.row_number().over(W.partitionBy(name).orderBy("title_key", F.coalesce("year", F.lit(0)), "root"))
-    return out.withColumn("article_id", F.format_string("art_%05d", place + before)).drop(*[f"_{x}{n}" for n in LEVELS for x in ("range", "before")])
+    order = ["title_key", F.coalesce("year", F.lit(0)), "root"]
+    dealt = merged.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = materialise(dealt, "articles").withColumn("_range", F.shiftright("_id", 33))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    place = F.col("_id").bitwiseAND((1 << 33) - 1) + 1 + F.coalesce("_before", F.lit(0))
+    return placed.join(F.broadcast(sizes.select("_range", ahead.alias("_before"))), "_range").withColumn("article_id", F.format_string("art_%05d", place)).drop("_id", "_range", "_before")
 
 
 def owner_links(merged: DataFrame, raw_ids: str = "raw_ids") -> DataFrame:

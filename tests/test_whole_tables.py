@@ -1,8 +1,12 @@
 """Queries of the catalog on tables made here, against their SQL or brute force."""
 
+import random
+
 import pytest
+from pyspark.sql.functions import udf
 
 from tessera import catalog, catalog_records  # noqa: F401
+from tessera.operators import dedup
 
 
 def test_decisions_round_as_their_sql(spark, tmp_path):
@@ -15,3 +19,31 @@ def test_decisions_round_as_their_sql(spark, tmp_path):
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLE_SQL['match_decisions']})").fetchall()
     got = catalog.QUERIES["match_decisions"](spark, str(tmp_path)).select(columns).collect()
     assert len(got) == len(rows) and sorted(tuple(r) for r in got) == sorted(want)
+
+
+def _counted(spark, df, column):
+    """df with a column passed through Python, and the count of values that passed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @udf("string")
+    def passed(x):
+        seen.add(1)
+        return x
+
+    return df.withColumn(column, passed.asNondeterministic()(column)), seen
+
+
+def test_titles_are_made_once_for_all_edges(spark):
+    rnd = random.Random(4)
+    rows = [(k, " ".join(rnd.choices(["deep", "nets", "for", "rivers", "of", "water", "basin"], k=5)), 2015 + k % 2, None) for k in range(60)]
+    given, seen = _counted(spark, spark.createDataFrame(rows, "rid long, title_key string, year int, doi string"), "title_key")
+    grouped = dedup.group_records(given).select("rid", "root").collect()
+    assert len(grouped) == 60 and seen.value <= 120
+
+
+def test_articles_are_made_once_for_their_numbers(spark):
+    rows = [(k, f"the river {k % 7}", 2000 + k % 3) for k in range(100)]
+    given, seen = _counted(spark, spark.createDataFrame(rows, "root long, title_key string, year int"), "title_key")
+    got = {r.root: r.article_id for r in dedup.number_articles(given).collect()}
+    want = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+    assert got == {r[0]: f"art_{k:05d}" for k, r in enumerate(want, 1)} and seen.value <= 200
