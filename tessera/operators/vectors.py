@@ -94,13 +94,53 @@ def rank_owners(hits: DataFrame, links: DataFrame, item: str, owner: str, m: int
     return ranked.groupBy(group, owner).agg((F.sum(F.when(F.col("_r") <= m, F.col("score")).otherwise(0.0)) / m).alias("owner_score"), F.max("score").alias("best"), F.count(F.lit(1)).alias("n_matching"))
 
 
+#: Rows and columns of a tile of cosines, which stays in cache, and rows of a task.
+TILE, TASK_ROWS = (256, 1024), 4096
+
+
 def similarity_histogram(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", sample: int = 200, bins: int = 20) -> DataFrame:
     """(bin, n): cosines of the pairs among the `sample` rows of least id hash, in equal bins of [-1, 1].
 
-    The sample is the operator's own, a look at a large table; with as many rows as the table has, all pairs count.
+    The sample is the operator's own, a look at a large table; with as many rows as the table has, all pairs count.  As in
+    search(), slices of the rows of at most about SLICE_BYTES meet all rows in matrix products; a pair counts where its greater
+    id meets the slice.  Vectors with a null take no part; vectors of several lengths are an error.
     """
-    taken = df.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample).select(id_col, unit(F.col(vector)).alias("u"))
-    a, b = taken.alias("a"), taken.alias("b")
-    cosine = dot(F.col("a.u"), F.col("b.u"))
-    bin_of = F.least(F.lit(bins), F.floor((F.round(cosine, 9) + 1) * bins / 2).cast("int") + 1)
-    return a.join(b, F.col(f"a.{id_col}") < F.col(f"b.{id_col}")).groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+    rows = df.where(whole).select(id_col, F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d"), F.coalesce(F.min(F.size("v")), F.lit(0)).alias("least")).first()
+    if size.d != size.least:
+        raise ValueError(f"the vectors have {size.least} to {size.d} dimensions")
+    if size.n > sample:
+        rows = rows.orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    n, dim = min(size.n, sample), size.d
+    dealt = rows.repartition(max(1, min(n, df.sparkSession.sparkContext.defaultParallelism), math.ceil(n / TASK_ROWS)))
+    slices = max(1, math.ceil(8 * n * dim / SLICE_BYTES))
+    out = None
+    for part in range(slices):
+        mine = rows if slices == 1 else rows.where(F.pmod(F.xxhash64(id_col), F.lit(slices)) == part)
+        held = mine.toArrow()  # of at most about SLICE_BYTES
+        by_id = pc.sort_indices(held.column(0))
+        names, units = held.column(0).take(by_id).to_numpy(), _units(_matrix(held.column(1).combine_chunks(), dim)[by_id.to_numpy()])
+
+        def count(batches, names=names, units=units):
+            found = np.zeros(bins + 2, np.int64)
+            for batch in batches:
+                order = np.asarray(pc.sort_indices(batch.column(0)))
+                ids, mine = batch.column(0).to_numpy(zero_copy_only=False)[order], _units(_matrix(batch.column(1), dim)[order])
+                before = np.searchsorted(names, ids)  # names before each id
+                scaled, sound = mine * (bins / 2), bool(np.isfinite(mine).all() and np.isfinite(units).all())
+                for at in range(0, len(ids), TILE[0]):
+                    upto = before[at : at + TILE[0]]
+                    for first in range(0, upto[-1], TILE[1]):
+                        # 5e-10 more puts a cosine that rounds up to a limit at 9 digits beyond it
+                        place = scaled[at : at + TILE[0]] @ units[first : first + TILE[1]].T + (1 + 5e-10) * bins / 2
+                        bin_of = (place if sound else np.nan_to_num(place)).astype(np.int64)
+                        if upto[0] < first + bin_of.shape[1]:
+                            bin_of[np.arange(first, first + bin_of.shape[1]) >= upto[:, None]] = bins + 1
+                        found += np.bincount(bin_of.ravel(), minlength=bins + 2)
+            found[bins - 1] += found[bins]
+            yield pa.record_batch([pa.array(np.arange(1, bins + 1, dtype=np.int32)), pa.array(found[:bins])], ["bin", "n"])
+
+        told = dealt.mapInArrow(count, "bin int, n long")
+        out = told if out is None else out.unionByName(told)
+    return out.groupBy("bin").agg(F.sum("n").alias("n")).where("n > 0")

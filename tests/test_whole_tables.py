@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql.functions import udf
 
 from tessera import catalog, catalog_records  # noqa: F401
-from tessera.operators import dedup
+from tessera.operators import dedup, vectors
 
 
 def test_decisions_round_as_their_sql(spark, tmp_path):
@@ -47,3 +48,20 @@ def test_articles_are_made_once_for_their_numbers(spark):
     got = {r.root: r.article_id for r in dedup.number_articles(given).collect()}
     want = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
     assert got == {r[0]: f"art_{k:05d}" for k, r in enumerate(want, 1)} and seen.value <= 200
+
+
+def test_histogram_counts_all_pairs_of_many_rows(spark, monkeypatch):
+    # 1.1e7 pairs one by one as Spark rows take minutes
+    monkeypatch.setattr(vectors, "SLICE_BYTES", 1 << 20)
+    x = np.random.default_rng(3).normal(size=(4800, 64)) + 0.3
+    x[7] = x[5]
+    df = spark.createDataFrame([(k, [float(c) for c in row]) for k, row in enumerate(x)] + [(9000, None), (9001, [None] * 64)], "vec_id long, embedding array<double>")
+    plans = []
+    monkeypatch.setattr(vectors, "dot", lambda *a: plans.append(a))  # no pair is a row
+    got = {r.bin: r.n for r in vectors.similarity_histogram(df, sample=5000).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = np.round((u @ u.T)[np.triu_indices(len(u), 1)], 9)
+    want = np.bincount(np.minimum(20, np.floor((cosine + 1) * 10).astype(int) + 1))
+    assert got == {k: int(v) for k, v in enumerate(want) if v} and not plans
+    few = vectors.similarity_histogram(df, sample=100).collect()
+    assert sum(r.n for r in few) == 100 * 99 // 2
