@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -9,6 +13,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+
+from tessera.plans.shared import materialise, scratch
 
 from .relational import top_per_group
 from .vectors import dot, unit
@@ -41,20 +49,217 @@ def clusters(df: DataFrame, k: int | None = None, k_range: tuple[int, ...] = (2,
     return best.transform(v).drop("_f")
 
 
+#: Terms that a task holds at once, characters of text for each range of hashes, terms listed for a cluster at first.
+BLOCK_TERMS, RANGE_CHARS, LISTED = 1 << 22, 32 << 20, 512
+
+
+def _terms(words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, place of the first word, words) of the words and pairs of a column of lists of hashes; 0 ends a text."""
+    n = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    h, row = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(n)), n)
+    one, two = np.flatnonzero(h), np.flatnonzero((row[:-1] == row[1:]) & (h[:-1] != 0) & (h[1:] != 0))
+    mixed = (h[two] ^ ((h[two + 1] << np.uint64(31)) | (h[two + 1] >> np.uint64(33)))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    sizes = np.repeat([1, 2], [len(one), len(two)])
+    return np.concatenate([row[one], row[two]]), np.concatenate([h[one], mixed ^ (mixed >> np.uint64(32))]), np.concatenate([one, two]), sizes
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Byte by byte of all numbers, so that high bytes compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _unpack(b: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 def cluster_terms(docs: DataFrame, key: str, text: str, cluster: str, stop: list[str], top: int = 6, least_docs: int = 2) -> DataFrame:
-    """(cluster, rank, term, weight): greatest mean of smoothed, length-normalised TF-IDF over words and pairs."""
+    """(cluster, rank, term, weight): greatest mean of smoothed, length-normalised TF-IDF over words and pairs.
+
+    Blocks of texts send the 64-bit hashes of their terms, with the texts that have them, to ranges of the hashes, which know
+    how many texts have a term and return each text's share of its length.  A term's weights sum up to no more than the
+    cluster's texts that have it, so only the most frequent terms are summed, and more of them until no other can be among the
+    top; only these become words again.
+    """
+    spark = docs.sparkSession
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop))
-    least = F.greatest(F.size("_w") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("_w", 1, least), F.slice("_w", 2, least), lambda a, b: F.concat(a, F.lit(" "), b))
-    terms = docs.select(key, cluster, words.alias("_w")).withColumn("_w", F.concat("_w", pairs))
-    sizes = terms.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
-    n = terms.agg(F.count(F.lit(1)).alias("n"))
-    tf = terms.select(key, cluster, F.explode("_w").alias("term")).groupBy(key, cluster, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_docs)
-    weighted = tf.join(df_, "term").join(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    unit_length = weighted.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") ** 2).over(W.partitionBy(key))))
-    mean = unit_length.groupBy(cluster, "term").agg(F.sum("w").alias("w")).join(sizes, cluster).withColumn("weight", F.col("w") / F.col("size"))
-    return top_per_group(mean.select(cluster, "term", "weight"), [cluster], [F.col("weight").desc(), F.col("term")], top)
+    said = docs.select(F.col(key).alias("key"), F.col(cluster).alias("cluster"), F.coalesce(words, F.array().cast("array<string>")).alias("w"))
+    hashes = F.transform("w", lambda w: F.xxhash64(w)).alias("h")
+    hashed = said.select("key", "cluster", hashes)
+    if not docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        ended = hashed.select("key", "cluster", F.concat("h", F.array(F.lit(0).cast("long"))).alias("h"))
+        hashed = ended.groupBy("key", "cluster").agg(F.flatten(F.collect_list("h")).alias("h"))
+    counted = docs.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("chars")).collect()
+    n, kind = sum(r["size"] for r in counted), docs.schema[cluster].dataType
+    named = [r for r in counted if r[cluster] is not None]
+    names = pa.array([r[cluster] for r in named], to_arrow_type(kind))
+    ranges = max(1, -(-sum(r["chars"] for r in counted) // RANGE_CHARS))
+    bounds = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+    listed = LISTED
+    while True:
+        with scratch():
+            told = materialise(_told(hashed, names, bounds, n, least_docs, listed), "terms")
+            norms = materialise(_norms(told, docs.schema[key].dataType), "norms")
+            lists = told.where("code >= 0").select("code", "t", "dfc", "df").toArrow().to_pydict()
+            # a range lists its most frequent terms of each cluster, the last with what no other term exceeds
+            chosen, bound, idf = set(), {}, {}
+            for code in range(len(named)):
+                mine = [(np.frombuffer(t, np.uint64), np.frombuffer(c, np.int64), np.frombuffer(d, np.int64)) for k, t, c, d in zip(*lists.values(), strict=True) if k == code]
+                if not mine:
+                    continue
+                t, c, d = (np.concatenate(x) for x in zip(*mine, strict=True))
+                cut = max([int(x[1][-1]) for x in mine if len(x[0]) >= listed], default=0)
+                best = np.argsort(-c, kind="stable")
+                bound[code] = max(cut, int(c[best[listed]]) if len(best) > listed else 0)
+                best = best[:listed]
+                chosen.update(t[best].tolist())
+                idf.update(zip(t[best].tolist(), (np.log((1 + n) / (1 + d[best])) + 1).tolist(), strict=True))
+            sums = _sums(hashed, norms, names, np.array(sorted(chosen), np.uint64), np.array([idf[t] for t in sorted(chosen)])).collect()
+        ranked = {code: sorted((r.w for r in sums if r.code == code), reverse=True)[:top] for code in bound}
+        if all(not bound[code] or (len(ranked[code]) == top and bound[code] < ranked[code][-1] * (1 - 1e-9)) for code in bound):
+            break
+        listed *= 16
+    order = sorted(chosen)
+    last = [(r.code, order[r.place], r.w) for r in sums if r.code in ranked and r.w >= ranked[r.code][-1] * (1 - 1e-12)]
+    spelled = _spelled(said.select("w", hashes), np.array(sorted({t for _, t, _ in last}), np.uint64))
+    rows = [(named[code][cluster], spelled[t], w / named[code]["size"]) for code, t, w in last]
+    schema = StructType([StructField(cluster, kind), StructField("term", StringType()), StructField("weight", DoubleType())])
+    return top_per_group(spark.createDataFrame(rows, schema), [cluster], [F.col("weight").desc(), F.col("term")], top)
+
+
+def _told(hashed: DataFrame, names: pa.Array, bounds: np.ndarray, n: int, least_docs: int, listed: int) -> DataFrame:
+    """(block, part, ids, s, code, t, dfc, df): keys of each block, each range's sums of squares by text of a block, and lists."""
+    id_kind = hashed.schema["key"].dataType
+    send = StructType([StructField("part", IntegerType()), StructField("block", LongType()), *[StructField(x, BinaryType()) for x in ("t", "c", "d", "f", "codes")], StructField("ids", ArrayType(id_kind))])
+    give = StructType([StructField("block", LongType()), StructField("part", IntegerType()), StructField("ids", ArrayType(id_kind)), StructField("s", BinaryType()), StructField("code", IntegerType()), *[StructField(x, BinaryType()) for x in ("t", "dfc", "df")]])
+    send_arrow, give_arrow = to_arrow_schema(send), to_arrow_schema(give)
+
+    def block_of(held, number):
+        batch = pa.Table.from_batches(held).combine_chunks()
+        ids, codes = batch.column("key").combine_chunks(), pc.fill_null(pc.index_in(batch.column("cluster"), value_set=names), -1).to_numpy().astype(np.int32)
+        row, t, _, _ = _terms(batch.column("h").combine_chunks())
+        order = np.argsort(t, kind="stable")
+        row, t = row[order], t[order]
+        first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (row[1:] != row[:-1])])) if len(t) else np.zeros(0, np.int64)
+        tf, row, t = np.diff(np.append(first, len(t))), row[first], t[first]
+        new = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+        each = np.diff(np.append(new, len(t)))
+        keys, ends = t[new], np.append(new, len(t))
+        cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+        rows = {f.name: [] for f in send_arrow}
+        for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            p, q = ends[a], ends[b]
+            values = (part, number, _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(each[a:b].astype(np.uint32)), _pack(row[p:q].astype(np.uint32)), _pack(tf[p:q].astype(np.uint32)), _pack(codes), None)
+            for name, value in zip(rows, values, strict=True):
+                rows[name].append(value)
+        rows["ids"][number % len(rows["ids"])] = ids.to_pylist()
+        return pa.record_batch([pa.array(rows[f.name], f.type) for f in send_arrow], schema=send_arrow)
+
+    def blocks(batches):
+        held, size, number = [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                held.append(batch.slice(at, 500))
+                size += 2 * len(held[-1].column("h").flatten())
+                if size >= BLOCK_TERMS:
+                    yield block_of(held, number)
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield block_of(held, number)
+
+    def count(table):
+        got = {name: table.column(name).to_pylist() for name in ("block", "t", "c", "d", "f", "codes")}
+        keys = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in got["t"]]
+        every, place = np.unique(np.concatenate(keys), return_inverse=True)
+        each = [_unpack(x, np.uint32) for x in got["c"]]
+        df = np.bincount(place, weights=np.concatenate(each), minlength=len(every)).astype(np.int64)
+        idf = np.where(df >= least_docs, np.log((1 + n) / (1.0 + df)) + 1, 0.0)
+        by_code = np.zeros((len(names), len(every)), np.int64)
+        rows, at, part = {f.name: [] for f in give_arrow}, 0, table.column("part")[0].as_py()
+        for k, block in enumerate(got["block"]):
+            term = np.repeat(place[at : at + len(keys[k])], each[k])
+            at += len(keys[k])
+            doc, tf, codes = _unpack(got["d"][k], np.uint32), _unpack(got["f"][k], np.uint32), _unpack(got["codes"][k], np.int32)
+            s = np.bincount(doc, weights=(tf * idf[term]) ** 2, minlength=len(codes))
+            of = codes[doc]
+            for code in np.unique(of[of >= 0]):
+                by_code[code] += np.bincount(term[of == code], minlength=len(every))
+            for name, value in zip(rows, (block, part, table.column("ids")[k].as_py(), s.astype(np.float64).tobytes(), -1, None, None, None), strict=True):
+                rows[name].append(value)
+        for code in range(len(names)):
+            fit = np.flatnonzero((by_code[code] > 0) & (df >= least_docs))
+            best = fit[np.argsort(-by_code[code][fit], kind="stable")[:listed]]
+            if len(best):
+                for name, value in zip(rows, (-1, part, None, None, code, every[best].tobytes(), by_code[code][best].tobytes(), df[best].tobytes()), strict=True):
+                    rows[name].append(value)
+        return pa.table([pa.array(rows[f.name], f.type) for f in give_arrow], schema=give_arrow)
+
+    return hashed.mapInArrow(blocks, send).groupBy("part").applyInArrow(count, give)
+
+
+def _norms(told: DataFrame, id_kind) -> DataFrame:
+    """(key, norm) from the ranges' sums of squares."""
+    schema = StructType([StructField("key", id_kind), StructField("s", DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def add(table):
+        parts = sorted(zip(table.column("part").to_pylist(), table.column("s").to_pylist(), strict=True))
+        ids = next(x for x in table.column("ids").to_pylist() if x is not None)
+        return pa.table([pa.array(ids, arrow.field("key").type), pa.array(np.sum([np.frombuffer(s, np.float64) for _, s in parts], axis=0))], schema=arrow)
+
+    each = told.where("code < 0").select("block", "part", "ids", "s").groupBy("block").applyInArrow(add, schema)
+    return each.groupBy("key").agg(F.sqrt(F.sum("s")).alias("norm"))
+
+
+def _sums(hashed: DataFrame, norms: DataFrame, names: pa.Array, chosen: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """(code, place, w): sums of the chosen terms' weights by cluster."""
+    id_kind = to_arrow_type(hashed.schema["key"].dataType)
+
+    def pick(batches):
+        for batch in batches:
+            codes = pc.fill_null(pc.index_in(batch.column("cluster"), value_set=names), -1).to_numpy(zero_copy_only=False)
+            row, t, _, _ = _terms(batch.column("h"))
+            near = np.minimum(np.searchsorted(chosen, t), max(len(chosen) - 1, 0))
+            hit = (chosen[near] == t) & (codes[row] >= 0) if len(chosen) else np.zeros(len(t), bool)
+            found, tf = np.unique(row[hit] * max(1, len(chosen)) + near[hit], return_counts=True)
+            row, place = found // max(1, len(chosen)), found % max(1, len(chosen))
+            have, first = np.unique(row, return_index=True)
+            ends = pa.array(np.append(first, len(row)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (place, tf)]
+            yield pa.record_batch([batch.column("key").take(pa.array(have)).cast(id_kind), pa.array(codes[have].astype(np.int32)), *lists], ["k", "code", "place", "tf"])
+
+    schema = StructType([StructField("k", hashed.schema["key"].dataType), StructField("code", IntegerType()), StructField("place", ArrayType(IntegerType())), StructField("tf", ArrayType(IntegerType()))])
+    both = hashed.mapInArrow(pick, schema).join(norms, F.col("k").eqNullSafe(F.col("key"))).select("code", "place", "tf", "norm")
+
+    def add(batches):
+        w = np.zeros((len(names), len(chosen)))
+        for batch in batches:
+            n = batch.column("place").value_lengths().to_numpy(zero_copy_only=False)
+            place, tf = (batch.column(x).flatten().to_numpy(zero_copy_only=False) for x in ("place", "tf"))
+            code, norm = (np.repeat(batch.column(x).to_numpy(zero_copy_only=False), n) for x in ("code", "norm"))
+            w += np.bincount(code.astype(np.int64) * len(chosen) + place, weights=tf * idf[place] / norm, minlength=w.size).reshape(w.shape)
+        code, place = np.nonzero(w)
+        yield pa.record_batch([pa.array(code.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(w[code, place])], ["code", "place", "w"])
+
+    return both.mapInArrow(add, "code int, place int, w double").groupBy("code", "place").agg(F.sum("w").alias("w"))
+
+
+def _spelled(said: DataFrame, wanted: np.ndarray) -> dict[int, str]:
+    """The words of the wanted hashes."""
+
+    def spell(batches):
+        for batch in batches:
+            _, t, place, sizes = _terms(batch.column("h"))
+            near = np.minimum(np.searchsorted(wanted, t), max(len(wanted) - 1, 0))
+            hit = np.flatnonzero(wanted[near] == t) if len(wanted) else np.zeros(0, np.int64)
+            which, first = np.unique(near[hit], return_index=True)
+            flat = batch.column("w").flatten()
+            terms = [" ".join(flat.slice(place[k], sizes[k]).to_pylist()) for k in hit[first]]
+            yield pa.record_batch([pa.array(wanted[which].view(np.int64)), pa.array(terms, pa.string())], ["h", "term"])
+
+    found = said.mapInArrow(spell, "h long, term string").distinct().collect()
+    return {r.h % (1 << 64): r.term for r in found}
 
 
 def central_rows(df: DataFrame, key: str, cluster: str, vector: str = "embedding", top: int = 3) -> DataFrame:

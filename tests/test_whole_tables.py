@@ -1,13 +1,15 @@
 """Queries of the catalog on tables made here, against their SQL or brute force."""
 
+import math
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql.functions import udf
 
 from tessera import catalog, catalog_records  # noqa: F401
-from tessera.operators import dedup, vectors
+from tessera.operators import dedup, topics, vectors
 
 
 def test_decisions_round_as_their_sql(spark, tmp_path):
@@ -65,3 +67,44 @@ def test_histogram_counts_all_pairs_of_many_rows(spark, monkeypatch):
     assert got == {k: int(v) for k, v in enumerate(want) if v} and not plans
     few = vectors.similarity_histogram(df, sample=100).collect()
     assert sum(r.n for r in few) == 100 * 99 // 2
+
+
+def _terms_by_hand(rows, stop, top, least):
+    each, texts = defaultdict(Counter), Counter(r[1] for r in rows)
+    for key, cluster, text in rows:
+        words = [w for w in (text or "").lower().split() if len(w) > 1 and w not in stop]
+        each[key, cluster].update(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+    df = Counter(t for c in each.values() for t in c)
+    value = {k: {t: n * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in c.items() if df[t] >= least} for k, c in each.items()}
+    length = Counter()
+    for (key, _), v in value.items():
+        length[key] += sum(x * x for x in v.values())
+    sums = defaultdict(Counter)
+    for (key, cluster), v in value.items():
+        for t, x in v.items():
+            sums[cluster][t] += x / math.sqrt(length[key])
+    return {(c, k): (t, round(w / texts[c], 9)) for c, s in sums.items() if c is not None for k, (t, w) in enumerate(sorted(s.items(), key=lambda x: (-round(x[1], 9), x[0]))[:top], 1)}
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_cluster_terms_by_hand(spark, monkeypatch, repeated):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcde", k=1 + k % 4)) for k in range(80)]
+    rows = [(k // 2 if repeated else k, rnd.choice(["x", "y", None]), " ".join(rnd.choices(words, weights=range(80), k=rnd.randrange(1, 40)))) for k in range(150)] + [(900, "x", None), (901, "z", "alone alone")]
+    want = _terms_by_hand(rows, ["abc"], 6, 2)
+    for listed, chars in ((512, 1 << 20), (8, 300)):
+        monkeypatch.setattr(topics, "LISTED", listed, raising=False)
+        monkeypatch.setattr(topics, "RANGE_CHARS", chars, raising=False)
+        found = topics.cluster_terms(spark.createDataFrame(rows, "k long, c string, t string").repartition(3), "k", "t", "c", ["abc"]).collect()
+        assert {(r.c, r["rank"]): (r.term, round(r.weight, 9)) for r in found} == want
+
+
+def test_cluster_terms_send_hashes_once(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    sent = lambda: store.executorSummary("driver").totalShuffleWrite()
+    rnd = random.Random(9)
+    words = ["".join(rnd.choices("abcdefghij", k=8)) for _ in range(3000)]
+    rows = [(k, "xy"[k % 2], " ".join(rnd.choices(words, k=150))) for k in range(2000)]
+    before = sent()
+    assert len(topics.cluster_terms(spark.createDataFrame(rows, "k long, c string, t string"), "k", "t", "c", []).collect()) == 12
+    assert sent() - before < 20 * 600_000
