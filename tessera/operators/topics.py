@@ -50,7 +50,7 @@ def clusters(df: DataFrame, k: int | None = None, k_range: tuple[int, ...] = (2,
 
 
 #: Terms that a task holds at once, characters of text for each range of hashes, terms listed for a cluster at first.
-BLOCK_TERMS, RANGE_CHARS, LISTED = 1 << 22, 32 << 20, 512
+BLOCK_TERMS, RANGE_CHARS, LISTED = 1 << 20, 12 << 20, 512
 
 
 def _terms(words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,23 +64,29 @@ def _terms(words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([row[one], row[two]]), np.concatenate([h[one], mixed ^ (mixed >> np.uint64(32))]), np.concatenate([one, two]), sizes
 
 
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            yield batch.slice(at, 500)
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Byte by byte of all numbers, so that high bytes compress."""
     return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
-def _unpack(b: bytes, kind) -> np.ndarray:
+def _unpack(b: pa.BinaryScalar, kind) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(b.as_buffer(), np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def cluster_terms(docs: DataFrame, key: str, text: str, cluster: str, stop: list[str], top: int = 6, least_docs: int = 2) -> DataFrame:
     """(cluster, rank, term, weight): greatest mean of smoothed, length-normalised TF-IDF over words and pairs.
 
     Blocks of texts send the 64-bit hashes of their terms, with the texts that have them, to ranges of the hashes, which know
-    how many texts have a term and return each text's share of its length.  A term's weights sum up to no more than the
-    cluster's texts that have it, so only the most frequent terms are summed, and more of them until no other can be among the
-    top; only these become words again.
+    how many texts have a term and return each text's share of its length.  A weight is at most what it would be by that share
+    alone, so only terms of the greatest such sums are weighed, and more of them until no other can be among the top; only
+    these become words again.
     """
     spark = docs.sparkSession
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop))
@@ -98,26 +104,31 @@ def cluster_terms(docs: DataFrame, key: str, text: str, cluster: str, stop: list
     bounds = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
     listed = LISTED
     while True:
+        per_range = max(64, 8 * listed // ranges)
         with scratch():
-            told = materialise(_told(hashed, names, bounds, n, least_docs, listed), "terms")
+            told = materialise(_told(hashed, names, bounds, n, least_docs, per_range), "terms")
             norms = materialise(_norms(told, docs.schema[key].dataType), "norms")
-            lists = told.where("code >= 0").select("code", "t", "dfc", "df").toArrow().to_pydict()
-            # a range lists its most frequent terms of each cluster, the last with what no other term exceeds
-            chosen, bound, idf = set(), {}, {}
-            for code in range(len(named)):
-                mine = [(np.frombuffer(t, np.uint64), np.frombuffer(c, np.int64), np.frombuffer(d, np.int64)) for k, t, c, d in zip(*lists.values(), strict=True) if k == code]
-                if not mine:
-                    continue
-                t, c, d = (np.concatenate(x) for x in zip(*mine, strict=True))
-                cut = max([int(x[1][-1]) for x in mine if len(x[0]) >= listed], default=0)
-                best = np.argsort(-c, kind="stable")
-                bound[code] = max(cut, int(c[best[listed]]) if len(best) > listed else 0)
-                best = best[:listed]
-                chosen.update(t[best].tolist())
-                idf.update(zip(t[best].tolist(), (np.log((1 + n) / (1 + d[best])) + 1).tolist(), strict=True))
-            sums = _sums(hashed, norms, names, np.array(sorted(chosen), np.uint64), np.array([idf[t] for t in sorted(chosen)])).collect()
-        ranked = {code: sorted((r.w for r in sums if r.code == code), reverse=True)[:top] for code in bound}
-        if all(not bound[code] or (len(ranked[code]) == top and bound[code] < ranked[code][-1] * (1 - 1e-9)) for code in bound):
+            lists = told.where("code >= 0").select("code", "t", "most", "df").toArrow().to_pydict()
+            for take in (listed, 4 * listed):
+                chosen, bound, idf = set(), {}, {}
+                for code in range(len(named)):
+                    mine = [(np.frombuffer(t, np.uint64), np.frombuffer(m, np.float64), np.frombuffer(d, np.int64)) for k, t, m, d in zip(*lists.values(), strict=True) if k == code]
+                    if not mine:
+                        continue
+                    t, most, d = (np.concatenate(x) for x in zip(*mine, strict=True))
+                    # the last of a full list is what no other term of its range exceeds
+                    cut = max([float(x[1][-1]) for x in mine if len(x[0]) >= per_range], default=0.0)
+                    best = np.argsort(-most, kind="stable")
+                    bound[code] = max(cut, float(most[best[take]]) if len(best) > take else 0.0)
+                    best = best[:take]
+                    chosen.update(t[best].tolist())
+                    idf.update(zip(t[best].tolist(), (np.log((1 + n) / (1 + d[best])) + 1).tolist(), strict=True))
+                sums = _sums(hashed, norms, names, np.array(sorted(chosen), np.uint64), np.array([idf[t] for t in sorted(chosen)])).collect()
+                ranked = {code: sorted((r.w for r in sums if r.code == code), reverse=True)[:top] for code in bound}
+                whole = all(not bound[code] or (len(ranked[code]) == top and bound[code] < ranked[code][-1] * (1 - 1e-9)) for code in bound)
+                if whole:
+                    break
+        if whole:
             break
         listed *= 16
     order = sorted(chosen)
@@ -129,10 +140,10 @@ def cluster_terms(docs: DataFrame, key: str, text: str, cluster: str, stop: list
 
 
 def _told(hashed: DataFrame, names: pa.Array, bounds: np.ndarray, n: int, least_docs: int, listed: int) -> DataFrame:
-    """(block, part, ids, s, code, t, dfc, df): keys of each block, each range's sums of squares by text of a block, and lists."""
+    """(block, part, ids, s, code, t, most, df): keys of each block, each range's sums of squares by text of a block, and lists."""
     id_kind = hashed.schema["key"].dataType
     send = StructType([StructField("part", IntegerType()), StructField("block", LongType()), *[StructField(x, BinaryType()) for x in ("t", "c", "d", "f", "codes")], StructField("ids", ArrayType(id_kind))])
-    give = StructType([StructField("block", LongType()), StructField("part", IntegerType()), StructField("ids", ArrayType(id_kind)), StructField("s", BinaryType()), StructField("code", IntegerType()), *[StructField(x, BinaryType()) for x in ("t", "dfc", "df")]])
+    give = StructType([StructField("block", LongType()), StructField("part", IntegerType()), StructField("ids", ArrayType(id_kind)), StructField("s", BinaryType()), StructField("code", IntegerType()), *[StructField(x, BinaryType()) for x in ("t", "most", "df")]])
     send_arrow, give_arrow = to_arrow_schema(send), to_arrow_schema(give)
 
     def block_of(held, number):
@@ -158,44 +169,59 @@ def _told(hashed: DataFrame, names: pa.Array, bounds: np.ndarray, n: int, least_
 
     def blocks(batches):
         held, size, number = [], 0, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                held.append(batch.slice(at, 500))
-                size += 2 * len(held[-1].column("h").flatten())
-                if size >= BLOCK_TERMS:
-                    yield block_of(held, number)
-                    held, size, number = [], 0, number + 1
+        for batch in _slices(batches):
+            held.append(batch)
+            size += 2 * len(batch.column("h").flatten())
+            if size >= BLOCK_TERMS:
+                yield block_of(held, number)
+                held, size, number = [], 0, number + 1
         if held:
             yield block_of(held, number)
+        del held
+        pa.default_memory_pool().release_unused()
 
     def count(table):
-        got = {name: table.column(name).to_pylist() for name in ("block", "t", "c", "d", "f", "codes")}
-        keys = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in got["t"]]
-        every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        each = [_unpack(x, np.uint32) for x in got["c"]]
-        df = np.bincount(place, weights=np.concatenate(each), minlength=len(every)).astype(np.int64)
+        # one message after the other, as a range is large
+        got = {name: table.column(name) for name in ("t", "c", "d", "f", "codes")}
+        sizes = [len(x.as_buffer()) // 4 for x in got["c"]]
+        keys, at = np.empty(sum(sizes), np.uint64), 0
+        for x, size in zip(got["t"], sizes, strict=True):
+            np.cumsum(_unpack(x, np.uint64), out=keys[at : at + size])
+            at += size
+        every = np.unique(keys)
+        place = np.empty(len(keys), np.int32)
+        df, at = np.zeros(len(every), np.int64), 0
+        for x, size in zip(got["c"], sizes, strict=True):
+            place[at : at + size] = np.searchsorted(every, keys[at : at + size])
+            df[place[at : at + size]] += _unpack(x, np.uint32)
+            at += size
+        del keys
         idf = np.where(df >= least_docs, np.log((1 + n) / (1.0 + df)) + 1, 0.0)
-        by_code = np.zeros((len(names), len(every)), np.int64)
+        most = np.zeros((len(names), len(every)))
         rows, at, part = {f.name: [] for f in give_arrow}, 0, table.column("part")[0].as_py()
-        for k, block in enumerate(got["block"]):
-            term = np.repeat(place[at : at + len(keys[k])], each[k])
-            at += len(keys[k])
+        for k, block in enumerate(table.column("block").to_pylist()):
+            term = np.repeat(place[at : at + sizes[k]], _unpack(got["c"][k], np.uint32))
+            at += sizes[k]
             doc, tf, codes = _unpack(got["d"][k], np.uint32), _unpack(got["f"][k], np.uint32), _unpack(got["codes"][k], np.int32)
-            s = np.bincount(doc, weights=(tf * idf[term]) ** 2, minlength=len(codes))
+            value = tf * idf[term]
+            s = np.bincount(doc, weights=value**2, minlength=len(codes))
+            value /= np.sqrt(np.maximum(s, 1e-300))[doc]
             of = codes[doc]
             for code in np.unique(of[of >= 0]):
-                by_code[code] += np.bincount(term[of == code], minlength=len(every))
+                most[code] += np.bincount(term[of == code], weights=value[of == code], minlength=len(every))
             for name, value in zip(rows, (block, part, table.column("ids")[k].as_py(), s.astype(np.float64).tobytes(), -1, None, None, None), strict=True):
                 rows[name].append(value)
         for code in range(len(names)):
-            fit = np.flatnonzero((by_code[code] > 0) & (df >= least_docs))
-            best = fit[np.argsort(-by_code[code][fit], kind="stable")[:listed]]
+            fit = np.flatnonzero(most[code] > 0)
+            best = fit[np.argsort(-most[code][fit], kind="stable")[:listed]]
             if len(best):
-                for name, value in zip(rows, (-1, part, None, None, code, every[best].tobytes(), by_code[code][best].tobytes(), df[best].tobytes()), strict=True):
+                for name, value in zip(rows, (-1, part, None, None, code, every[best].tobytes(), most[code][best].tobytes(), df[best].tobytes()), strict=True):
                     rows[name].append(value)
+        pa.default_memory_pool().release_unused()
         return pa.table([pa.array(rows[f.name], f.type) for f in give_arrow], schema=give_arrow)
 
-    return hashed.mapInArrow(blocks, send).groupBy("part").applyInArrow(count, give)
+    # as many partitions as ranges, so that few of them share a task's sort
+    return hashed.mapInArrow(blocks, send).repartition(len(bounds) + 1, "part").groupBy("part").applyInArrow(count, give)
 
 
 def _norms(told: DataFrame, id_kind) -> DataFrame:
@@ -217,7 +243,7 @@ def _sums(hashed: DataFrame, norms: DataFrame, names: pa.Array, chosen: np.ndarr
     id_kind = to_arrow_type(hashed.schema["key"].dataType)
 
     def pick(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             codes = pc.fill_null(pc.index_in(batch.column("cluster"), value_set=names), -1).to_numpy(zero_copy_only=False)
             row, t, _, _ = _terms(batch.column("h"))
             near = np.minimum(np.searchsorted(chosen, t), max(len(chosen) - 1, 0))
@@ -249,7 +275,7 @@ def _spelled(said: DataFrame, wanted: np.ndarray) -> dict[int, str]:
     """The words of the wanted hashes."""
 
     def spell(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             _, t, place, sizes = _terms(batch.column("h"))
             near = np.minimum(np.searchsorted(wanted, t), max(len(wanted) - 1, 0))
             hit = np.flatnonzero(wanted[near] == t) if len(wanted) else np.zeros(0, np.int64)
@@ -258,8 +284,12 @@ def _spelled(said: DataFrame, wanted: np.ndarray) -> dict[int, str]:
             terms = [" ".join(flat.slice(place[k], sizes[k]).to_pylist()) for k in hit[first]]
             yield pa.record_batch([pa.array(wanted[which].view(np.int64)), pa.array(terms, pa.string())], ["h", "term"])
 
-    found = said.mapInArrow(spell, "h long, term string").distinct().collect()
-    return {r.h % (1 << 64): r.term for r in found}
+    # the top terms are frequent: all are in the first texts as a rule
+    for texts in (said.limit(2000), said):
+        found = {r.h % (1 << 64): r.term for r in texts.mapInArrow(spell, "h long, term string").distinct().collect()}
+        if len(found) == len(wanted):
+            break
+    return found
 
 
 def central_rows(df: DataFrame, key: str, cluster: str, vector: str = "embedding", top: int = 3) -> DataFrame:
