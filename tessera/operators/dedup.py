@@ -19,7 +19,7 @@ from pyspark.sql.functions import pandas_udf
 
 from tessera.functions.text import tokens
 from tessera.functions.values import years_agree
-from tessera.plans.shared import materialise, scratch
+from tessera.plans.shared import discard, materialise, scratch, tidy
 
 from .components import connected_components
 
@@ -48,13 +48,14 @@ def doi_edges(records: DataFrame) -> DataFrame:
 
 
 def _points(records: DataFrame) -> DataFrame:
-    """(rid, name, year, doi, words, kinds, point) of the records: a digest of the title, how many words and different words
-    it has, and the least of those alike in title, year and DOI.  What follows compares and moves digests, not titles."""
+    """(rid, name, year, doi, words, kinds, point, last) of the records: a digest of the title, how many words and different
+    words it has, and the least and the greatest of those alike in title, year and DOI.  What follows compares and moves
+    digests, not titles."""
     tok = tokens(F.col("title_key"))
     named = records.select("rid", F.unhex(F.sha2("title_key", 256)).alias("name"), "year", "doi", F.size(tok).alias("words"), F.size(F.array_distinct(tok)).alias("kinds"))
-    least = named.groupBy(F.col("name").alias("_t"), F.col("year").alias("_y"), F.col("doi").alias("_d")).agg(F.min("rid").alias("point"))
+    ends = named.groupBy(F.col("name").alias("_t"), F.col("year").alias("_y"), F.col("doi").alias("_d")).agg(F.min("rid").alias("point"), F.max("rid").alias("last"))
     alike = F.col("name").eqNullSafe(F.col("_t")) & F.col("year").eqNullSafe(F.col("_y")) & F.col("doi").eqNullSafe(F.col("_d"))
-    return named.join(least, alike).drop("_t", "_y", "_d")
+    return named.join(ends, alike).drop("_t", "_y", "_d")
 
 
 def title_edges(records: DataFrame) -> DataFrame:
@@ -88,12 +89,12 @@ FREQUENT = 1 << 16
 
 
 def _prefixes(titles: DataFrame) -> DataFrame:
-    """(rid, y, l, n, p, h): the rarest words of each title of n different words, at place p in the order of all words.
+    """(t, years, l, n, p, h): the rarest words of each title of n different words, at place p in the order of all words.
 
     h mixes the hashes of a word and of the title's markers, as titles with other markers do not meet.
     """
     tok = F.array_distinct(tokens(F.col("title_key")))
-    hashed = titles.select("rid", F.col("year").cast("int").alias("y"), F.length("title_key").alias("l"), F.xxhash64(markers(tok)).alias("m"), F.transform(tok, lambda t: F.xxhash64(t)).alias("h"))
+    hashed = titles.select("t", "years", F.length("title_key").alias("l"), F.xxhash64(markers(tok)).alias("m"), F.transform(tok, lambda t: F.xxhash64(t)).alias("h"))
     often = hashed.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "h").limit(FREQUENT).toArrow()
     by_hash = np.argsort(often.column("h").to_numpy())
     known, counts = often.column("h").to_numpy()[by_hash], often.column("df").to_numpy()[by_hash]
@@ -110,54 +111,111 @@ def _prefixes(titles: DataFrame) -> DataFrame:
             kept = place <= (n - (JACCARD_NUM * n + JACCARD_DEN - 1) // JACCARD_DEN + 1)[row]
             of = pa.array(row[kept])
             mixed = h[order][kept] ^ batch.column("m").to_numpy(zero_copy_only=False)[row[kept]]
-            yield pa.record_batch([batch.column("rid").take(of), batch.column("y").take(of), batch.column("l").take(of), pa.array(n[row[kept]].astype(np.int32)), pa.array(place[kept].astype(np.int32)), pa.array(mixed)], ["rid", "y", "l", "n", "p", "h"])
+            yield pa.record_batch([batch.column("t").take(of), batch.column("years").take(of), batch.column("l").take(of), pa.array(n[row[kept]].astype(np.int32)), pa.array(place[kept].astype(np.int32)), pa.array(mixed)], ["t", "years", "l", "n", "p", "h"])
 
-    return hashed.mapInArrow(rarest, "rid long, y int, l int, n int, p int, h long")
+    return hashed.mapInArrow(rarest, "t long, years long, l int, n int, p int, h long")
 
 
 def _alike(threshold: float):
-    """Whether two titles have the Jaccard coefficient, the same markers and the ratio; cheap conditions first."""
+    """Whether two titles have the Jaccard coefficient, the same markers and the ratio, which depends on their order: 1 if
+    they have it with a first, 2 if with b first, 3 if both ways, else 0; cheap conditions first.  Only the ways in tried
+    are looked at."""
 
-    @pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> bool:
+    @pandas_udf("int")
+    def alike(a: pd.Series, b: pd.Series, tried: pd.Series) -> pd.Series:
+        def one(x: str, y: str, ways: int) -> int:
             left, right = ({t for t in title.split(" ") if t} for title in (x, y))
             common = len(left & right)
             if common * JACCARD_DEN < (len(left) + len(right) - common) * JACCARD_NUM:
-                return False
+                return 0
             if any(t in ROMAN or (t.isascii() and t.isdigit()) for t in left ^ right):
-                return False
-            match = SequenceMatcher(None, x, y)
-            return match.quick_ratio() >= threshold and match.ratio() >= threshold
+                return 0
+            if SequenceMatcher(None, x, y).quick_ratio() < threshold:
+                return 0
+            return sum(way for way, pair in ((1, (x, y)), (2, (y, x))) if ways & way and SequenceMatcher(None, *pair).ratio() >= threshold)
 
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([one(*each) for each in zip(a, b, tried, strict=True)], dtype="int32")
 
     return alike
 
 
 def fuzzy_edges(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Years at most one apart, four words or more, token Jaccard of 0.6, the same markers, ratio above the threshold."""
+    """Years at most one apart, four words or more, token Jaccard of 0.6, the same markers, ratio above the threshold.
+
+    The edges have the components of all such pairs without two DOIs, see _fuzzy_edges().
+    """
     return _fuzzy_edges(records, _points(records), threshold)
 
 
+def _near_titles(titles: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst, ways) of titles (t, title_key, years, hi, y0, y1), each title once, src < dst, ways as of _alike(), as far as
+    the first and last records t and hi and the first and last years y0 and y1 leave them open.
+
+    Two titles meet at a word of their prefixes if they can reach the Jaccard coefficient by its places (Xiao et al.,
+    "Efficient Similarity Joins for Near Duplicate Detection", 2008).  All words they share up to the end of that prefix
+    which ends first are counted, so they are read only if these and what is left after a prefix can reach it: titles of
+    as many words must share some 15 % of them in their prefixes.  Both sides of the join are one exchange.  A bit of
+    years is a year modulo 64, so some titles too many may meet here.
+    """
+    prefix = materialise(_prefixes(titles), "prefixes")
+    around = lambda x: x.bitwiseOR(F.shiftleft(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 63)).bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftleft(x, 63))
+    x, y = (lambda name: F.col(f"a.{name}")), (lambda name: F.col(f"b.{name}"))
+    both = x("n") + y("n")
+    length = (x("n") * JACCARD_NUM <= y("n") * JACCARD_DEN) & (y("n") * JACCARD_NUM <= x("n") * JACCARD_DEN) & (2 * F.least(x("l"), y("l")) >= threshold * (x("l") + y("l")))
+    rest = F.least(x("n") - x("p"), y("n") - y("p"))
+    reach = (JACCARD_NUM + JACCARD_DEN) * (F.least(x("p"), y("p")) + rest) >= JACCARD_NUM * both
+    met = prefix.alias("a").join(prefix.alias("b"), (x("h") == y("h")) & (x("t") < y("t")) & length & reach & (x("years").bitwiseAND(around(y("years"))) != 0))
+    left = F.greatest(*[F.floor((n * JACCARD_NUM + JACCARD_DEN - 1) / JACCARD_DEN) - 1 for n in (x("n"), y("n"))])
+    need = JACCARD_NUM * both - (JACCARD_NUM + JACCARD_DEN) * left
+    met = met.select(x("t").alias("src"), y("t").alias("dst"), need.alias("need")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need"))
+    pairs = materialise(met.where((JACCARD_NUM + JACCARD_DEN) * F.col("c") >= F.col("need")).select("src", "dst"), "pairs")
+    discard(prefix)
+    full = pairs.join(titles.select(F.col("t").alias("src"), "title_key", "hi", "y0", "y1").alias("a"), "src").join(titles.select(F.col("t").alias("dst"), "title_key", "y0", "y1").alias("b"), "dst")
+    tried = (x("y0") <= y("y1")).cast("int") + 2 * ((y("y0") < x("y1")) | ((y("y0") == x("y1")) & (F.col("dst") < x("hi")))).cast("int")
+    found = materialise(full.select("src", "dst", _alike(threshold)(x("title_key"), y("title_key"), tried).alias("ways")).where("ways > 0"), "near")
+    discard(pairs)
+    return found
+
+
 def _fuzzy_edges(records: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
-    """Only titles that can reach the Jaccard coefficient by the words they share in their prefixes, and by what is left
-    after the last of these (Xiao et al., "Efficient Similarity Joins for Near Duplicate Detection", 2008), are read."""
+    """Titles meet once, however many years and DOIs they have; their points are linked by stars.
+
+    Two points with DOIs have a conflict or are linked by their DOI, so of each pair one has no DOI (a bare point; a title
+    has one a year).  In one year the earlier record comes first, so by the order of titles that has the ratio, a bare
+    point meets of the points of another title and year all, those with a record after its first (they go on from the
+    point that reaches last), or those with a record before its last (they go on from the first point).
+    """
     points = points.where("year IS NOT NULL AND kinds >= 4")
-    titles = materialise(records.select("rid", "title_key", "year", "doi").join(points.where("rid = point").select("rid"), "rid", "left_semi"), "titles")
-    prefix = materialise(_prefixes(titles), "prefixes")
-    left = prefix.select(F.col("rid").alias("src"), "h", "y", *[F.col(x).alias(f"{x}1") for x in ("y", "l", "n", "p")])
-    right = prefix.select(F.col("rid").alias("dst"), "h", F.explode(F.array(F.col("y"), F.col("y") - 1)).alias("y"), *[F.col(x).alias(f"{x}2") for x in ("y", "l", "n", "p")])
-    # in one year the earlier record comes first, across years the earlier year
-    order = (F.col("y2") > F.col("y1")) | ((F.col("y2") == F.col("y1")) & (F.col("src") < F.col("dst")))
-    length = (F.col("n1") * JACCARD_NUM <= F.col("n2") * JACCARD_DEN) & (F.col("n2") * JACCARD_NUM <= F.col("n1") * JACCARD_DEN) & (2 * F.least("l1", "l2") >= threshold * (F.col("l1") + F.col("l2")))
-    met = left.join(right, ["h", "y"]).where(order & length).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c"), F.min(F.col("n1") + F.col("n2")).alias("n"), F.min(F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))).alias("rest"))
-    pairs = met.where((JACCARD_NUM + JACCARD_DEN) * (F.col("c") + F.col("rest")) >= JACCARD_NUM * F.col("n")).select("src", "dst")
-    full = pairs.join(titles.select(F.col("rid").alias("src"), F.struct("title_key", "doi").alias("a")), "src").join(titles.select(F.col("rid").alias("dst"), F.struct("title_key", "doi").alias("b")), "dst")
-    fit = full.where(~doi_conflict(F.col("a.doi"), F.col("b.doi"))).withColumn("alike", _alike(threshold)(F.col("a.title_key"), F.col("b.title_key")))
-    found = fit.where("alike").select("src", "dst")
-    same = points.where("rid <> point").select(F.col("point").alias("src"), F.col("rid").alias("dst"))
-    return found.unionByName(same)
+    distinct = points.where("rid = point").select("name", F.col("year").cast("int").alias("year"), F.col("doi").isNull().alias("bare"), F.col("rid").alias("lo"), F.col("last").alias("hi"))
+    named = distinct.groupBy("name").agg(F.min("lo").alias("t"), F.max("hi").alias("hi"), F.min("year").alias("y0"), F.max("year").alias("y1"), F.expr("bit_or(shiftleft(1L, int(pmod(year, 64))))").alias("years"))
+    titles = materialise(records.select(F.col("rid").alias("t"), "title_key").join(named, "t"), "titles")
+    points_of = materialise(distinct.join(titles.select("name", "t"), "name").drop("name"), "points")
+    near = _near_titles(titles, threshold)
+
+    bit = lambda k: F.col("ways").bitwiseAND(k) != 0
+    each = near.select(F.col("src").alias("p"), F.col("dst").alias("q"), bit(1).alias("before"), bit(2).alias("after"))
+    each = each.unionByName(near.select(F.col("dst").alias("p"), F.col("src").alias("q"), bit(2).alias("before"), bit(1).alias("after")))
+    each = each.unionByName(titles.select(F.col("t").alias("p"), F.col("t").alias("q"), F.lit(threshold <= 1).alias("before"), F.lit(threshold <= 1).alias("after")))
+    bare = points_of.where("bare").select(F.col("t").alias("p"), F.col("year").alias("yp"), F.col("lo").alias("src"), F.col("hi").alias("hi_p"))
+    shelf = points_of.groupBy(F.col("t").alias("q"), F.col("year").alias("yq")).agg(F.min("lo").alias("first"), F.max("hi").alias("hi_q"), F.max_by("lo", "hi").alias("last"))
+    met = each.join(bare, "p").join(shelf, "q").where(F.abs(F.col("yp") - F.col("yq")) <= 1)
+    same = F.col("yp") == F.col("yq")
+    whole = (F.col("before") & (F.col("yp") < F.col("yq"))) | (F.col("after") & (F.col("yp") > F.col("yq")))
+    # points of q with lo < upto meet from the first, those with hi > since from the last
+    upto = F.when(whole, F.lit((1 << 63) - 1)).when(F.col("after") & same & (F.col("first") < F.col("hi_p")), F.col("hi_p"))
+    since = F.when(F.col("before") & same & (F.col("hi_q") > F.col("src")), F.col("src"))
+    met = materialise(met.select("src", "q", "yq", "first", "last", upto.alias("upto"), since.alias("since")).where("upto IS NOT NULL OR since IS NOT NULL"), "met")
+    reach = met.groupBy("q", "yq").agg(F.min("first").alias("first"), F.min("last").alias("last"), F.max("upto").alias("upto"), F.min("since").alias("since"))
+    star = points_of.join(reach, (F.col("t") == F.col("q")) & (F.col("year") == F.col("yq")))
+    pairs = [
+        met.where("upto IS NOT NULL").select("src", F.col("first").alias("dst")), met.where("since IS NOT NULL").select("src", F.col("last").alias("dst")),
+        star.where("lo < upto").select(F.col("first").alias("src"), F.col("lo").alias("dst")), star.where("hi > since").select(F.col("last").alias("src"), F.col("lo").alias("dst")),
+        points.where("rid <> point").select(F.col("point").alias("src"), F.col("rid").alias("dst")),
+    ]
+    found = pairs[0]
+    for more in pairs[1:]:
+        found = found.unionByName(more)
+    return found.where("src <> dst")
 
 
 def group_records(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -165,7 +223,7 @@ def group_records(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
     The relation is closed transitively: two DOIs may meet through a record without one.
     """
-    with scratch() as steps:
+    with scratch() as steps, tidy(records.sparkSession):
         thin = materialise(records.select("rid", "title_key", "year", "doi"), "records")
         points = materialise(_points(thin), "points")
         edges = doi_edges(points).unionByName(_title_edges(points)).unionByName(_fuzzy_edges(thin, points, threshold))
@@ -186,7 +244,8 @@ def number_articles(merged: DataFrame) -> DataFrame:
     """
     order = ["title_key", F.coalesce("year", F.lit(0)), "root"]
     dealt = merged.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    placed = materialise(dealt, "articles").withColumn("_range", F.shiftright("_id", 33))
+    with tidy(merged.sparkSession):
+        placed = materialise(dealt, "articles").withColumn("_range", F.shiftright("_id", 33))
     sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     ahead = F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
     place = F.col("_id").bitwiseAND((1 << 33) - 1) + 1 + F.coalesce("_before", F.lit(0))

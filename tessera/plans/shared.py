@@ -52,6 +52,20 @@ def scratch() -> Iterator[Scratch]:
             discard(df)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that has run are deleted at once, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a table to the shared folder and read it back: what follows no longer depends on the plan before."""
     spark = df.sparkSession

@@ -10,6 +10,7 @@ from pyspark.sql.functions import udf
 
 from tessera import catalog, catalog_records  # noqa: F401
 from tessera.operators import dedup, topics, vectors
+from tessera.plans.shared import materialise, tidy
 
 
 def test_decisions_round_as_their_sql(spark, tmp_path):
@@ -44,6 +45,84 @@ def test_titles_are_made_once_for_all_edges(spark):
     assert len(grouped) == 60 and seen.value <= 120
 
 
+def test_groups_of_copies_years_and_dois_by_hand(spark):
+    # the ratio depends on the order of titles, and a copy may stand on the other side of a record than the first
+    rnd = random.Random(11)
+    base = [" ".join("".join(rnd.choices("abcd", k=rnd.randrange(3, 9))) for _ in range(rnd.randrange(4, 9))) for _ in range(6)]
+
+    def turned(x):
+        k = rnd.randrange(len(x))
+        return " ".join((x[:k] + rnd.choice(["", "a", "b", x[k] * 2, " "]) + x[k + 1 :]).split())
+
+    titles = base + [turned(rnd.choice(base)) for _ in range(30)] + ["tide of a river by the long sea", "diet of a river by the long sea"]
+    one_way = ["".join(rnd.choices("ab", k=7)) for _ in range(9)]
+    pairs = [(" ".join(one_way), " ".join(one_way[:k] + ["".join(rnd.choices("ab", k=7))] + one_way[k + 1 :])) for k in range(9) for _ in range(30)]
+    passes = lambda a, b: dedup.SequenceMatcher(None, a, b).ratio() >= dedup.THRESHOLD
+    odd = [(a, b) if passes(a, b) else (b, a) for a, b in pairs if passes(a, b) != passes(b, a)]
+    assert odd
+    a, b = odd[0]
+    # only a copy of a stands before b, and of b only a copy with a DOI stands behind a
+    rows = [(0, b, 2000, None), (1, a, 2000, "d0"), (2, a, 2000, None), (3, b, 2000, None), (4, b, 2001, "d1"), (5, a, 2007, None), (6, b, 2007, "d2"), (7, a, 2009, "d3"), (8, b, 2009, None), (9, a, 2009, None)]
+    rows += [(k, rnd.choice(titles), rnd.choice([None, 2010, 2010, 2011, 2012]), rnd.choice([None, None, "x", "y", f"z{k % 40}"])) for k in range(10, 260)]
+    root = list(range(len(rows)))
+
+    def find(k):
+        return k if root[k] == k else find(root[k])
+
+    for i, x, yx, dx in rows:
+        for j, y, yy, dy in rows[i + 1 :]:
+            clash = bool(dx and dy and dx != dy)
+            link = bool(dx and dx == dy) or (x == y and len(x.split()) >= 3 and (yx is None or yy is None or yx == yy) and not clash)
+            p, q = set(x.split()), set(y.split())
+            if not link and not clash and yx and yy and abs(yx - yy) <= 1 and min(len(p), len(q)) >= 4 and len(p & q) / len(p | q) >= 0.6:
+                link = passes(x, y) if yx <= yy else passes(y, x)
+            if link:
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    got = {r.rid: r.root for r in dedup.group_records(spark.createDataFrame(rows, "rid long, title_key string, year int, doi string")).collect()}
+    assert got == {k: find(k) for k in range(len(rows))}
+
+
+def test_dois_of_near_titles_are_not_paired(spark):
+    # 800 points with DOIs, of which no two may be linked by their titles
+    store = spark.sparkContext._jsc.sc().statusStore()
+    sent = lambda: store.executorSummary("driver").totalShuffleWrite()
+    title = " ".join(f"long{k} words{k}" for k in range(20))
+    rows = [(k, title + " river" * (k % 2), 2015 + k % 3, f"d{k}") for k in range(800)] + [(900, title, 2015, None), (901, title + " river", 2016, None)]
+    given = spark.createDataFrame(rows, "rid long, title_key string, year int, doi string")
+    before = sent()
+    grouped = dedup.group_records(given).select("rid", "root").collect()
+    assert sent() - before < 2_000_000
+    # bare 900 reaches the years 2015 and 2016 of both titles, bare 901 all of them
+    assert {r.root for r in grouped} == {0} and len(grouped) == 802
+
+
+def test_titles_of_one_shared_word_are_not_read(spark, monkeypatch):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=8))
+    rows = [(k, " ".join([f"rare{k % 5}"] + [word() for _ in range(30)]), 2015, None) for k in range(200)]
+    written, plain = {}, dedup.materialise
+
+    def kept(df, name="step"):
+        out = plain(df, name)
+        if name == "pairs":
+            written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(dedup, "materialise", kept)
+    given = spark.createDataFrame(rows, "rid long, title_key string, year int, doi string")
+    assert dedup.group_records(given).where("rid <> root").count() == 0 and written["pairs"] == 0
+
+
+def test_tidy_sets_the_deletion_of_shuffles(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    with tidy(spark):
+        assert spark.conf.get(setting) == "true"
+        assert materialise(spark.range(1000).repartition(3, "id"), "t").count() == 1000
+    assert spark.conf.get(setting, None) == before
+
+
 def test_articles_are_made_once_for_their_numbers(spark):
     rows = [(k, f"the river {k % 7}", 2000 + k % 3) for k in range(100)]
     given, seen = _counted(spark, spark.createDataFrame(rows, "root long, title_key string, year int"), "title_key")
